@@ -1,0 +1,260 @@
+"""Overlap absorption for locations that hold too many values for one array.
+
+The ordered fold looks sequential, but a value only depends on earlier values it overlaps.
+Each round settles every value whose outcome can no longer change, using minima over
+overlapping values only, until none is open:
+
+* ``links`` lists, per location, which distinct core lies in which value. It is found by an
+  equality join on substrings, so its size follows the text and no pair of values that do not
+  overlap is ever formed. Values sharing one core share its link rows.
+* a value without an earlier live neighbour survives;
+* a value whose first live neighbour (by position) is a survivor joins it. When the
+  survivor's core lies in the value and not the other way round, the survivor moves to the
+  value's position; with equal lengths the value takes the survivor's place instead.
+
+A survivor's position matters to values that touch several survivors, so a move waits until
+all earlier open values of that kind around the survivor are settled. The first open value of
+a location can always be settled, hence the rounds end.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from credsift.functions.keys import LOCATION
+from credsift.operators.merge import union_of_tools
+from credsift.session import cut
+
+# Cores are looked up by their first characters before whole substrings are compared.
+_GRAM = 8
+
+_OPEN, _ALIVE, _GONE = "open", "alive", "gone"
+
+
+def absorb_in_rounds(findings: DataFrame) -> DataFrame:
+    """Absorb overlapping values per location. Needs ``id, seq, norm, core`` and a location."""
+    place = F.sha2(F.to_json(F.struct(*LOCATION)), 256)
+    rank = F.struct((-F.length("norm")).alias("rank"), "seq", "id")
+    values = cut(findings.withColumn("place", place).withColumn("at", rank), "crowded")
+    links = cut(core_links(values), "links")
+
+    state = values.select(
+        "place",
+        "id",
+        "core",
+        "at",
+        F.col("at").alias("position"),
+        F.lit(_OPEN).alias("status"),
+        "found_by",
+    )
+    while True:
+        state = cut(_next_round(state, links), "round")
+        if state.filter(F.col("status") == _OPEN).isEmpty():
+            break
+    tools = state.filter(F.col("status") == _ALIVE).select(
+        "id", F.col("found_by").alias("all_tools")
+    )
+    return (
+        values.join(tools, "id")
+        .withColumn("found_by", F.col("all_tools"))
+        .drop("all_tools", "place", "at", "core")
+    )
+
+
+def core_links(values: DataFrame) -> DataFrame:
+    """(place, core, id): the distinct cores of a place lying in the value ``id``."""
+    cores = values.select("place", "core").distinct()
+    grams = cores.groupBy("place", F.left("core", F.lit(_GRAM)).alias("gram")).agg(
+        F.collect_set(F.length("core")).alias("lengths")
+    )
+    norm, size = F.col("norm"), F.length("norm")
+
+    def pieces_at(start: Column) -> Column:
+        widths = F.sequence(F.lit(1), F.least(F.lit(_GRAM), size - start + 1))
+        return F.transform(
+            widths,
+            lambda w: F.struct(
+                F.substr(norm, start, w).alias("gram"),
+                F.when(w == _GRAM, F.substr(norm, start)).alias("tail"),
+            ),
+        )
+
+    pieces = F.when(
+        size > 0, F.flatten(F.transform(F.sequence(F.lit(1), size), pieces_at))
+    )
+    empty = F.array(F.struct(F.lit("").alias("gram"), F.lit(None).cast("string").alias("tail")))
+    starts = values.select(
+        "place", "id", F.explode(F.concat(empty, F.coalesce(pieces, F.slice(empty, 1, 0))))
+        .alias("piece"),
+    ).select("place", "id", "piece.gram", "piece.tail")
+    candidates = (
+        starts.join(grams, ["place", "gram"])
+        .select("place", "id", "gram", "tail", F.explode("lengths").alias("length"))
+        .filter(F.coalesce(F.length("tail"), F.length("gram")) >= F.col("length"))
+        .select(
+            "place",
+            F.coalesce(F.left("tail", F.col("length")), F.col("gram")).alias("core"),
+            "id",
+        )
+        .distinct()
+    )
+    return candidates.join(cores, ["place", "core"], "left_semi")
+
+
+def _around(state: DataFrame, links: DataFrame, measures: dict[str, tuple[str, Column]]):
+    """Per value, each measure over the values it overlaps, itself included.
+
+    ``in_*`` covers values holding this value's core, ``of_*`` values whose core this one holds.
+    """
+    ops = {"min": F.min, "max": F.max}
+    marked = state.select(
+        "place", "id", "core", *(expr.alias(name) for name, (_, expr) in measures.items())
+    )
+    holders = (
+        links.join(marked.drop("core"), ["place", "id"])
+        .groupBy("place", "core")
+        .agg(*(ops[op](n).alias("in_" + n) for n, (op, _) in measures.items()))
+    )
+    owners = marked.groupBy("place", "core").agg(
+        *(ops[op](n).alias(n) for n, (op, _) in measures.items())
+    )
+    held = (
+        links.join(owners, ["place", "core"])
+        .groupBy("id")
+        .agg(*(ops[op](n).alias("of_" + n) for n, (op, _) in measures.items()))
+    )
+    return state.join(holders, ["place", "core"], "left").join(held, "id", "left")
+
+
+def _next_round(state: DataFrame, links: DataFrame) -> DataFrame:
+    gone = state.filter(F.col("status") == _GONE)
+    live = state.filter(F.col("status") != _GONE)
+    is_open, is_alive = F.col("status") == _OPEN, F.col("status") == _ALIVE
+    rank = F.col("at.rank")
+
+    seen = _around(
+        live,
+        links,
+        {
+            "first": ("min", F.struct("position", "id", "status", rank.alias("rank"))),
+            "open": ("min", F.when(is_open, F.col("at"))),
+            "near": ("min", F.when(is_alive, F.col("position"))),
+            "far": ("max", F.when(is_alive, F.col("position"))),
+        },
+    )
+    first = F.least("in_first", "of_first")
+    seen = cut(
+        seen.select(
+            *state.columns,
+            first.alias("first"),
+            # does the first neighbour hold this value's core?
+            (F.col("in_first.id") == first["id"]).alias("inside"),
+            F.least("in_open", "of_open").alias("first_open"),
+            F.col("in_open").alias("first_holder"),
+            (
+                is_open
+                & (F.least("in_open", "of_open") == F.col("at"))
+                & (F.least("in_near", "of_near") == F.greatest("in_far", "of_far"))
+            ).alias("single"),
+        ),
+        "seen",
+    )
+
+    # what a survivor must know about the open values around it
+    waiting = _around(
+        seen.drop("in_open"),
+        links,
+        {
+            "several": (
+                "min",
+                F.when(is_open & ~F.coalesce("single", F.lit(False)), F.col("at")),
+            ),
+            # open values of one length follow each other, so the survivor's equals come first
+            "equal": ("min", F.when(is_open, F.struct(rank.alias("rank"), "at"))),
+        },
+    )
+    survivors = waiting.filter(is_alive).select(
+        F.col("id").alias("target"),
+        F.col("first_open").alias("target_open"),
+        F.col("first_holder").alias("target_holder"),
+        F.least("in_several", "of_several").alias("target_several"),
+        # an open holder of the survivor's core with the survivor's length may replace it
+        F.when(F.col("in_equal.rank") == rank, F.col("in_equal.at")).alias("target_equal"),
+    )
+
+    def not_before(mark: str) -> Column:
+        return F.col(mark).isNull() | (F.col(mark) >= F.col("at"))
+
+    single = F.coalesce(F.col("single"), F.lit(False))
+    replaces = ~F.col("inside") & (F.col("first.rank") == rank)
+    joins = (
+        F.when(replaces, F.lit(False))
+        .when(F.col("inside") & single, not_before("target_equal"))
+        .when(F.col("inside"), not_before("target_holder"))
+        .when(single, not_before("target_equal") & not_before("target_several"))
+        .otherwise(not_before("target_open"))
+    )
+    to_survivor = F.col("first.status") == _ALIVE
+    verdict = (
+        F.when(~is_open, "stay")
+        .when(F.col("first.id") == F.col("id"), "survive")
+        .when(to_survivor & replaces & not_before("target_open"), "replace")
+        .when(to_survivor & joins, "join")
+        .otherwise("stay")
+    )
+    judged = cut(
+        seen.withColumn("target", F.when(is_open & to_survivor, F.col("first.id")))
+        .join(survivors, "target", "left")
+        .withColumn("verdict", verdict),
+        "judged",
+    )
+
+    # tools and positions handed over this round
+    joined = judged.filter(F.col("verdict") == "join").select(
+        F.col("target").alias("id"),
+        "found_by",
+        F.when(~F.col("inside"), F.col("at")).alias("moved"),
+        F.lit(None).cast("string").alias("replaced_by"),
+    )
+    replaced = judged.filter(F.col("verdict") == "replace")
+    losers = replaced.select(F.col("target").alias("id"), F.col("id").alias("replaced_by"))
+    handed = losers.join(judged.select("id", "found_by"), "id").select(
+        F.col("replaced_by").alias("id"),
+        "found_by",
+        F.lit(None).cast(judged.schema["at"].dataType).alias("moved"),
+        F.lit(None).cast("string").alias("replaced_by"),
+    )
+    marks = losers.select(
+        "id",
+        F.lit(None).cast("array<string>").alias("found_by"),
+        F.lit(None).cast(judged.schema["at"].dataType).alias("moved"),
+        "replaced_by",
+    )
+    received = (
+        joined.unionByName(handed)
+        .unionByName(marks)
+        .groupBy("id")
+        .agg(
+            union_of_tools("found_by").alias("new_tools"),
+            F.max("moved").alias("moved"),
+            F.max("replaced_by").alias("replaced_by"),
+        )
+    )
+    status = (
+        F.when(F.col("verdict") == "survive", _ALIVE)
+        .when((F.col("verdict") == "join") | F.col("replaced_by").isNotNull(), _GONE)
+        .otherwise(F.col("status"))
+    )
+    decided = judged.join(received, "id", "left").select(
+        "place",
+        "id",
+        "core",
+        "at",
+        F.greatest("position", "moved").alias("position"),
+        status.alias("status"),
+        F.when(F.col("new_tools").isNull(), F.col("found_by"))
+        .otherwise(F.array_sort(F.array_union("found_by", "new_tools")))
+        .alias("found_by"),
+    )
+    return decided.unionByName(gone)
