@@ -19,15 +19,19 @@ def base64_text(value: Column) -> Column:
 
     Characters outside the alphabet are ignored and broken UTF-8 becomes U+FFFD.
     """
+    plain = value.rlike(r"^[A-Za-z0-9+/]*+={0,2}+$") & (F.length(value) % 4 == 0)
+    usable = F.when(plain, value).otherwise(_readable_part(value))
+    decoded = F.make_valid_utf8(F.try_to_binary(usable, F.lit("base64")).cast("string"))
+    return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.coalesce(decoded, value))
+
+
+def _readable_part(value: Column) -> Column:
+    """The data characters a lenient decoder would use, padded again; NULL if unreadable."""
     clean = F.regexp_replace(value, "[^A-Za-z0-9+/=]", "")
-    plain = clean.rlike(r"^[A-Za-z0-9+/]*+={0,2}+$") & (F.length(clean) % 4 == 0)
     data = F.replace(
         F.concat(F.regexp_extract(clean, _READABLE, 1), F.regexp_extract(clean, _READABLE, 2)),
         F.lit("="),
         F.lit(""),
     )
     width = (F.ceil(F.length(data) / F.lit(4)) * F.lit(4)).cast("int")
-    # an unreadable text extracts as '' on both groups; only then does rlike have to decide
-    usable = F.when(plain, clean).when(clean.rlike(_READABLE), F.rpad(data, width, "="))
-    decoded = F.make_valid_utf8(F.try_to_binary(usable, F.lit("base64")).cast("string"))
-    return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.coalesce(decoded, value))
+    return F.when(clean.rlike(_READABLE), F.rpad(data, width, "="))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# All Unicode white space plus the four separator controls U+001C..U+001F.
-_SPACE = r"(?U)[\s\x1c-\x1f]"
+# The white space characters, the separator controls U+001C..U+001F among them.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # One leading assignment (name, = or =>, an optional quote) and the noise
 # characters removed at both ends of a core value.
@@ -33,7 +37,7 @@ def core_form(norm: Column) -> Column:
 
 def strip_space(value: Column) -> Column:
     """White space removed at both ends only."""
-    return F.regexp_replace(value, rf"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(value, F.lit(_SPACE_CHARS))
 
 
 def strip_ansi(value: Column) -> Column:

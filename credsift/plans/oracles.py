@@ -548,12 +548,13 @@ FROM (SELECT *, unnest(found_by) AS tool FROM pass3)"""
 ORACLES["report_json"] = ORACLES["dedup_findings"]
 ORACLES["report_empty"] = f"{DEDUP} SELECT {GENERAL} FROM pass3 WHERE false"
 
-# streaming: all fields of one id agree here, so the order of dropped files does not matter
+# streaming: without line and commit, where equal ids differ by the order of dropped files
 
 ORACLES["streaming_ingest"] = f"""WITH {marked()}, {TRUFFLEHOG},
 normed AS (SELECT *, {norm('secret_value')} AS norm FROM trufflehog),
 merged AS ({merge('normed', 'id')})
-{flat('merged')}"""
+SELECT id, repository, file_path, secret_type, secret_value, found_by[1] AS found_by
+FROM merged"""
 
 # scans
 

@@ -457,7 +457,10 @@ def streaming_ingest(spark, sf_dir):
         pattern="part-*.txt",
         files_per_batch=3,
     ).awaitTermination()
-    return flat(ingest.current_by_id(spark, state))
+    found = ingest.current_by_id(spark, state)
+    return flat(found).select(
+        "id", "repository", "file_path", "secret_type", "secret_value", "found_by"
+    )
 
 
 # scans

@@ -33,6 +33,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("credsift")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")

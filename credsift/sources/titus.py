@@ -23,22 +23,22 @@ def _records(landing: DataFrame) -> DataFrame:
     rule = F.coalesce(
         F.nullif(V.text(record, "RuleName"), F.lit("")), V.text(record, "RuleID", "Unknown")
     )
-    return (
-        landing.filter(F.col("tool") == TOOL)
-        .select(
-            "repository",
-            "path",
-            "block",
-            F.posexplode(V.json_array(F.col("value"))).alias("record_pos", "record"),
-        )
-        .withColumn("rule", rule)
-        .withColumn("matches", V.items(record, "Matches"))
-        .withColumn("groups", V.items(record, "Groups"))
+    records = landing.filter(F.col("tool") == TOOL).select(
+        "repository",
+        "path",
+        "block",
+        F.posexplode(V.json_array(F.col("value"))).alias("record_pos", "record"),
+    )
+    return V.once(
+        records, rule=rule, matches=V.items(record, "Matches"), groups=V.items(record, "Groups")
     )
 
 
-def _secret(encoded: Column) -> Column:
-    return strip_space(base64_text(encoded))
+def _decoded(df: DataFrame, encoded: Column) -> DataFrame:
+    """Add the decoded ``secret_value`` and drop rows where it is empty."""
+    df = V.once(df, encoded=encoded)
+    df = V.once(df, secret_value=strip_space(base64_text(F.col("encoded"))))
+    return df.drop("encoded").filter(F.col("secret_value") != "")
 
 
 def _seq(sub: Column) -> Column:
@@ -46,14 +46,11 @@ def _seq(sub: Column) -> Column:
 
 
 def _exploded(landing: DataFrame) -> DataFrame:
+    """One row per match; ``usable`` when every level that is present is an object."""
     match = F.col("match")
-    levels = [
-        F.try_variant_get(match, path, "variant")
-        for path in ("$.Snippet", "$.Location", "$.Location.Source", "$.Location.Source.Start")
-    ]
     usable = V.is_object(match)
-    for level in levels:
-        usable = usable & (V.absent(level) | V.is_object(level))
+    for path in ("$.Snippet", "$.Location", "$.Location.Source", "$.Location.Source.Start"):
+        usable = usable & V.absent_or_object(match, path)
     return (
         _records(landing)
         .select(
@@ -71,45 +68,35 @@ def _exploded(landing: DataFrame) -> DataFrame:
 def matches(landing: DataFrame) -> DataFrame:
     """One row per match with a secret: rule, value, line and blob."""
     match = F.col("match")
-    return (
-        _exploded(landing)
-        .filter("usable")
-        .select(
-            "repository",
-            F.coalesce(
-                F.try_variant_get(match, "$.BlobID", "string"), F.lit("")
-            ).alias("blob_id"),
-            line_number(
-                F.try_variant_get(match, "$.Location.Source.Start.Line", "string")
-            ).alias("line_number"),
-            F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("rule")).alias(
-                "secret_type"
-            ),
-            _secret(F.try_variant_get(match, "$.Snippet.Matching", "string")).alias(
-                "secret_value"
-            ),
-            _seq(F.col("match_pos")).alias("seq"),
-        )
-        .filter(F.col("secret_value") != "")
+    found = _decoded(
+        _exploded(landing).filter("usable"),
+        F.try_variant_get(match, "$.Snippet.Matching", "string"),
+    )
+    return found.select(
+        "repository",
+        F.coalesce(F.try_variant_get(match, "$.BlobID", "string"), F.lit("")).alias("blob_id"),
+        line_number(
+            F.try_variant_get(match, "$.Location.Source.Start.Line", "string")
+        ).alias("line_number"),
+        F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("rule")).alias(
+            "secret_type"
+        ),
+        "secret_value",
+        _seq(F.col("match_pos")).alias("seq"),
     )
 
 
 def group_findings(landing: DataFrame) -> DataFrame:
     """Findings without matches: the first group is the value, no location is known."""
+    lone = _records(landing).filter(F.coalesce(F.size("matches"), F.lit(0)) <= 0)
+    found = _decoded(lone, F.get("groups", F.lit(0)).try_cast("string"))
     return (
-        _records(landing)
-        .filter(F.coalesce(F.size("matches"), F.lit(0)) <= 0)
-        .select(
-            "repository",
-            F.lit("").alias("file_path"),
-            F.lit(None).cast("int").alias("line_number"),
-            F.col("rule").alias("secret_type"),
-            _secret(F.get("groups", F.lit(0)).try_cast("string")).alias("secret_value"),
-            F.lit("").alias("commit_hash"),
-            F.array(F.lit(TOOL)).alias("found_by"),
-            _seq(F.lit(0)).alias("seq"),
-        )
-        .filter(F.col("secret_value") != "")
+        found.withColumn("file_path", F.lit(""))
+        .withColumn("line_number", F.lit(None).cast("int"))
+        .withColumn("secret_type", F.col("rule"))
+        .withColumn("commit_hash", F.lit(""))
+        .withColumn("found_by", F.array(F.lit(TOOL)))
+        .withColumn("seq", _seq(F.lit(0)))
         .withColumn("id", finding_id(*map(F.col, ("repository", "file_path", "secret_value"))))
         .select(*FINDING_COLUMNS, "seq")
     )

@@ -28,7 +28,14 @@ def json_array(text: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def absent_or_object(value: Column, path: str) -> Column:
+    return (
+        F.try_variant_get(value, path, "variant").isNull()
+        | F.try_variant_get(value, path, "map<string,variant>").isNotNull()
+    )
 
 
 def is_text(value: Column) -> Column:
