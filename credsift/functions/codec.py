@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _DATA = "[A-Za-z0-9+/]"
 _QUADS = f"(?:=*+{_DATA}=*+{_DATA}=?+{_DATA}{_DATA})*+"
 _FINAL = f"(?:=*+{_DATA}=*+{_DATA}==|=*+{_DATA}=*+{_DATA}=?+{_DATA}=)"
-_READABLE = f"^({_QUADS})(?:=*+$|({_FINAL})(?:.*)$)"
+_READABLE = rf"^({_QUADS})(?:=*+\z|({_FINAL})(?:.*)\z)"
 
 
 def base64_text(value: Column) -> Column:
@@ -19,7 +19,7 @@ def base64_text(value: Column) -> Column:
 
     Characters outside the alphabet are ignored and broken UTF-8 becomes U+FFFD.
     """
-    plain = value.rlike(r"^[A-Za-z0-9+/]*+={0,2}+$") & (F.length(value) % 4 == 0)
+    plain = value.rlike(r"^[A-Za-z0-9+/]*+={0,2}+\z") & (F.length(value) % 4 == 0)
     usable = F.when(plain, value).otherwise(_readable_part(value))
     decoded = F.make_valid_utf8(F.try_to_binary(usable, F.lit("base64")).cast("string"))
     return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.coalesce(decoded, value))

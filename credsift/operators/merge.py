@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credsift.functions.keys import has_location
 from credsift.functions.text import normal_form
 
 _ROW = ["id", "repository", "file_path", "line_number", "secret_type", "secret_value",
@@ -30,14 +31,18 @@ def preference() -> Column:
 
 
 def start_state(df: DataFrame) -> DataFrame:
-    """One mergeable state per finding: best row, first commit, first line, tools, order."""
+    """One mergeable state per finding: best row, first commit, first line, tools, order.
+
+    A complete row needs no filling and, if a group has one, is its best row. So complete rows
+    offer no commit or line to others, which keeps most states small.
+    """
+    incomplete = ~has_location()
+    commit, line = F.col("commit_hash"), F.col("line_number")
     return df.select(
         "*",
         F.struct(preference().alias("preference"), "seq", *_ROW).alias("best"),
-        F.when(F.col("commit_hash") != "", F.struct("seq", "commit_hash")).alias("first_commit"),
-        F.when(F.col("line_number").isNotNull(), F.struct("seq", "line_number")).alias(
-            "first_line"
-        ),
+        F.when(incomplete & (commit != ""), F.struct("seq", "commit_hash")).alias("first_commit"),
+        F.when(incomplete & line.isNotNull(), F.struct("seq", "line_number")).alias("first_line"),
     )
 
 

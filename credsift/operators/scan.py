@@ -7,7 +7,10 @@ without hits. Each style reports under its own name in ``found_by``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,38 +20,78 @@ from credsift.functions.keys import finding_id
 from credsift.functions.text import strip_space
 from credsift.schema import FINDING_COLUMNS
 
+# The styles of scanning, in the order in which their findings arrive.
+STYLES = ["rules", "entropy", "keywords", "context"]
+
+_HITS_DDL = "array<struct<style: string, rule: string, value: string, pos: int>>"
+
 LINE_BREAK = r"\r\n|\r|\n"
 
 
 @dataclass(frozen=True)
 class Rule:
+    """A pattern, the group holding the value, and texts of which any match contains one."""
+
     name: str
     pattern: str
     group: int = 0
+    literals: tuple[str, ...] = ()
+    any_case: bool = False
+    gate_pattern: str | None = None
+
+    def gate(self, text: Column) -> Column:
+        """Cheap test that no text with a match fails; searching a text beats a pattern."""
+        if not self.literals:
+            return text.rlike(self.gate_pattern or self.pattern)
+        folded = F.lower(text) if self.any_case else text
+        # the one-element array makes sure that the text is folded only once
+        return F.exists(
+            F.array(folded),
+            lambda t: reduce(or_, (F.contains(t, F.lit(word)) for word in self.literals)),
+        )
 
 
 _WORDS = "token|secret|password|passwd|api_?key|private_?key"
+_LITERALS = ("token", "secret", "passw", "api_key", "apikey", "private_key", "privatekey")
 _BLANK = r"[ \t]*"
 
 RULES = [
-    Rule("aws-access-token", r"AKIA[0-9A-Z]{16}"),
-    Rule("github-token", r"ghp_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url-credentials", r"[a-z][a-z0-9+.-]*://[^ \t:/@]+:[^ \t/@]+@[^ \t\"'<>]+"),
+    Rule("aws-access-token", r"AKIA[0-9A-Z]{16}", literals=("AKIA",)),
+    Rule("github-token", r"ghp_[0-9A-Za-z]{16,}", literals=("ghp_",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", literals=("eyJ",)),
+    Rule("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", literals=("-----BEGIN ",)),
+    Rule(
+        "url-credentials",
+        r"[a-z][a-z0-9+.-]*://[^ \t:/@]+:[^ \t/@]+@[^ \t\"'<>]+",
+        literals=("://",),
+    ),
     Rule(
         "assigned-secret",
         rf"(?i)(?:{_WORDS}){_BLANK}(?:=>|=|:){_BLANK}[\"']([^\"']{{8,}})[\"']",
         1,
+        _LITERALS,
+        any_case=True,
     ),
     Rule("hex-token", r"\b[0-9a-f]{40}\b"),
 ]
 CONTEXT = Rule(
     "assignment",
     rf"(?i)[a-z0-9_.$-]*(?:{_WORDS})[a-z0-9_]*{_BLANK}(?:=>|=|:){_BLANK}[\"'][^\"']{{8,}}[\"']",
+    literals=_LITERALS,
+    any_case=True,
+)
+KEYWORD = Rule(
+    "keyword-line",
+    rf"(?i)(?:{_WORDS})[\"']?{_BLANK}(?:=|:)",
+    literals=_LITERALS,
+    any_case=True,
+)
+CANDIDATE = Rule(
+    "high-entropy",
+    r"[A-Za-z0-9+/=_-]{20,}",
+    # starting only where a token starts saves looking at every suffix of every word
+    gate_pattern=r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20}",
 )
-KEYWORD = Rule("keyword-line", rf"(?i)(?:{_WORDS})[\"']?{_BLANK}(?:=|:)")
-CANDIDATE = Rule("high-entropy", r"[A-Za-z0-9+/=_-]{20,}")
 
 # Bits per character from which a candidate counts: hexadecimal texts, all others.
 HEX_BITS, OTHER_BITS = 3.0, 4.5
@@ -62,110 +105,126 @@ def text_lines(texts: DataFrame) -> DataFrame:
     ).select(*rest, (F.col("line_pos") + 1).alias("line_number"), "line")
 
 
-def _lines_with(texts: DataFrame, *rules: Rule) -> DataFrame:
-    """Lines of texts in which at least one rule can match."""
-    any_rule = F.lit(False)
-    for rule in rules:
-        any_rule = any_rule | F.col("text").rlike(rule.pattern)
-    return text_lines(texts.filter(any_rule))
+def _candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Texts in which at least one rule may match. Rules with equal gates share one test."""
+    gates = {}
+    for rule in sorted(rules, key=lambda r: not r.literals):
+        gates.setdefault(rule.literals or rule.pattern, rule.gate(F.col("text")))
+    return texts.filter(reduce(or_, gates.values()))
 
 
-def _hits(line: Column, rule: Rule) -> Column:
-    found = F.regexp_extract_all(line, F.lit(rule.pattern), F.lit(rule.group))
-    return F.transform(
+def _hits(style: str, rule: Rule, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All matches of a rule in the line."""
+    found = F.regexp_extract_all(F.col("line"), F.lit(rule.pattern), F.lit(rule.group))
+    if keep is not None:
+        found = F.filter(found, keep)
+    hits = F.transform(
         found,
         lambda value, pos: F.struct(
-            F.lit(rule.name).alias("rule"), value.alias("value"), pos.alias("pos")
+            F.lit(style).alias("style"),
+            F.lit(rule.name).alias("rule"),
+            value.alias("value"),
+            pos.alias("pos"),
         ),
     )
+    if not rule.literals:
+        return hits
+    return F.coalesce(F.when(rule.gate(F.col("line")), hits), F.array().cast(_HITS_DDL))
 
 
-def _findings(hits: DataFrame, style: str, rank: int) -> DataFrame:
-    """Hits (context columns, line_number, rule, value, pos) to findings."""
+def _line_hit(style: str, rule: Rule) -> Column:
+    """The whole line when the rule matches in it."""
+    hit = F.struct(
+        F.lit(style).alias("style"),
+        F.lit(rule.name).alias("rule"),
+        strip_space(F.col("line")).alias("value"),
+        F.lit(0).alias("pos"),
+    )
+    matched = F.col("line").rlike(rule.pattern)
+    return F.filter(F.array(hit), lambda _: matched)
+
+
+def _findings(lines: DataFrame, *hits: Column) -> DataFrame:
+    """Hits in each line (context columns, line_number, line) as findings, in style order."""
+    style = F.col("hit.style")
+    rank = F.array_position(F.array(*map(F.lit, STYLES)), style) - 1
     seq = F.struct(
-        F.lit(rank).alias("tool"),
+        rank.cast("int").alias("tool"),
         F.col("file_path").alias("path"),
         F.col("line_number").cast("bigint").alias("block"),
-        F.col("rule").alias("key"),
-        F.col("pos").cast("bigint").alias("pos"),
+        F.col("hit.rule").alias("key"),
+        F.col("hit.pos").cast("bigint").alias("pos"),
         F.lit(0).cast("bigint").alias("sub"),
     )
-    return hits.select(
-        finding_id(F.col("repository"), F.col("file_path"), F.col("value")).alias("id"),
+    exploded = lines.select("*", F.explode(F.concat(*hits)).alias("hit"))
+    return exploded.select(
+        finding_id(F.col("repository"), F.col("file_path"), F.col("hit.value")).alias("id"),
         "repository",
         "file_path",
         F.col("line_number").cast("int").alias("line_number"),
-        F.col("rule").alias("secret_type"),
-        F.col("value").alias("secret_value"),
+        F.col("hit.rule").alias("secret_type"),
+        F.col("hit.value").alias("secret_value"),
         "commit_hash",
-        F.array(F.lit(style)).alias("found_by"),
+        F.array(style).alias("found_by"),
         seq.alias("seq"),
     )
 
 
-def _explode_hits(lines: DataFrame, hits: Column) -> DataFrame:
-    rest = [c for c in lines.columns if c != "line"]
-    return lines.select(*rest, F.explode(hits).alias("hit")).select(*rest, "hit.*")
+def looks_random(token: Column) -> Column:
+    bits = shannon_entropy(token)
+    is_hex = token.rlike("^[0-9a-fA-F]+$")
+    return F.when(is_hex, bits >= HEX_BITS).otherwise(bits >= OTHER_BITS)
+
+
+def _by_rules() -> list[Column]:
+    return [_hits("rules", rule) for rule in RULES]
 
 
-def scan_rules(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def _by_entropy() -> list[Column]:
+    return [_hits("entropy", CANDIDATE, looks_random)]
+
+
+def scan_rules(texts: DataFrame) -> DataFrame:
     """The value alone, by rule."""
-    lines = _lines_with(texts, *rules)
-    hits = F.concat(*(_hits(F.col("line"), rule) for rule in rules))
-    return _findings(_explode_hits(lines, hits), "rules", 0)
+    return _findings(text_lines(_candidates(texts, RULES)), *_by_rules())
 
 
 def scan_entropy(texts: DataFrame) -> DataFrame:
     """Long tokens that look random."""
-    lines = _lines_with(texts, CANDIDATE)
-    hits = _explode_hits(lines, _hits(F.col("line"), CANDIDATE))
-    return _findings(hits.filter(looks_random(F.col("value"))), "entropy", 1)
-
-
-def looks_random(token: Column) -> Column:
-    bits = shannon_entropy(token)
-    is_hex = token.rlike("^[0-9a-fA-F]+$")
-    return F.when(is_hex, bits >= HEX_BITS).otherwise(bits >= OTHER_BITS)
+    return _findings(text_lines(_candidates(texts, [CANDIDATE])), *_by_entropy())
 
 
 def scan_keyword_lines(texts: DataFrame) -> DataFrame:
     """The whole line around a keyword."""
-    lines = _lines_with(texts, KEYWORD)
-    hits = lines.filter(F.col("line").rlike(KEYWORD.pattern)).select(
-        "*",
-        F.lit(KEYWORD.name).alias("rule"),
-        strip_space(F.col("line")).alias("value"),
-        F.lit(0).alias("pos"),
-    )
-    return _findings(hits, "keywords", 2)
+    lines = text_lines(_candidates(texts, [KEYWORD]))
+    return _findings(lines, _line_hit("keywords", KEYWORD))
 
 
 def scan_with_context(texts: DataFrame) -> DataFrame:
     """The value together with the assignment around it."""
-    lines = _lines_with(texts, CONTEXT)
-    return _findings(_explode_hits(lines, _hits(F.col("line"), CONTEXT)), "context", 3)
+    return _findings(text_lines(_candidates(texts, [CONTEXT])), _hits("context", CONTEXT))
 
 
 def scan_all(texts: DataFrame) -> DataFrame:
-    return (
-        scan_rules(texts)
-        .unionByName(scan_entropy(texts))
-        .unionByName(scan_keyword_lines(texts))
-        .unionByName(scan_with_context(texts))
+    """All styles in one pass over the texts."""
+    lines = text_lines(_candidates(texts, [CANDIDATE, KEYWORD, CONTEXT, *RULES]))
+    return _findings(
+        lines,
+        *_by_rules(),
+        *_by_entropy(),
+        _line_hit("keywords", KEYWORD),
+        _hits("context", CONTEXT),
     )
 
 
-def scan_history(versions: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Scan file versions, each distinct content once.
+def scan_history(versions: DataFrame) -> DataFrame:
+    """Scan file versions by rule, each distinct content once.
 
     Input: repository, file_path, commit_hash, commit_ts, text. Versions without any candidate
     are dropped before contents are compared. The commit reported is the earliest one holding
     the content at that path.
     """
-    any_rule = F.lit(False)
-    for rule in rules:
-        any_rule = any_rule | F.col("text").rlike(rule.pattern)
-    candidates = versions.filter(any_rule).withColumn("blob_id", F.sha2("text", 256))
+    candidates = _candidates(versions, RULES).withColumn("blob_id", F.sha2("text", 256))
     contents = candidates.groupBy("blob_id").agg(F.min("text").alias("text"))
     occurrences = (
         candidates.groupBy("repository", "file_path", "blob_id")
@@ -174,6 +233,7 @@ def scan_history(versions: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
             "repository", "file_path", "blob_id", F.col("first.commit_hash").alias("commit_hash")
         )
     )
-    hits = F.concat(*(_hits(F.col("line"), rule) for rule in rules))
-    found = _explode_hits(text_lines(contents), hits)
-    return _findings(found.join(occurrences, "blob_id"), "rules", 0)
+    # only lines with a hit meet their occurrences
+    any_hit = reduce(or_, (F.col("line").rlike(rule.pattern) for rule in RULES))
+    lines = text_lines(contents).filter(any_hit).join(occurrences, "blob_id")
+    return _findings(lines, *_by_rules())

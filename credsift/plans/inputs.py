@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from credsift.functions.keys import finding_id
 from credsift.schema import FINDING_COLUMNS, TOOLS
+from credsift.session import spread
+from credsift.sources.variants import once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,9 @@ def _marked(spark: SparkSession, sf_dir: str, secrets: int = 400, repos: int = 8
     """Line items with a secret number, repository, tool number and base value."""
     secret = F.col("l_partkey") % secrets
     base = F.concat(F.lit("AKIA"), F.upper(F.left(F.md5(_text(secret)), F.lit(16))))
-    return table(spark, sf_dir, "lineitem").select(
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    items = table(spark, sf_dir, "lineitem").select(*keys)
+    rows = spread(items, *keys).select(
         F.col("l_orderkey").alias("ok"),
         F.col("l_linenumber").alias("ln"),
         F.col("l_partkey").alias("pk"),
@@ -30,8 +34,9 @@ def _marked(spark: SparkSession, sf_dir: str, secrets: int = 400, repos: int = 8
         F.concat(F.lit("repo-"), _text(F.col("l_suppkey") % repos)).alias("repository"),
         (F.col("l_orderkey") % 4).alias("tt"),
         (F.col("l_orderkey") % 20).alias("shape"),
-        base.alias("base"),
+        "l_partkey",
     )
+    return once(rows, base=base).drop("l_partkey")
 
 
 def lineitem_findings(
@@ -48,7 +53,8 @@ def lineitem_findings(
         F.concat(F.lit('"aws_key" = "'), base, F.lit('";')),
         F.concat(F.lit("AWS_KEY="), base),
     )
-    rows = _marked(spark, sf_dir, secrets, repos).select(
+    marked = once(_marked(spark, sf_dir, secrets, repos), secret_value=value)
+    rows = marked.select(
         "repository",
         F.when(nowhere, "")
         .when(F.col("ln") >= 6, F.concat(F.lit("test/"), name))
@@ -58,7 +64,7 @@ def lineitem_findings(
         by_tool(
             *map(F.lit, ("aws-access-token", "AWS", "Secret Keyword", "AWS API Credentials"))
         ).alias("secret_type"),
-        value.alias("secret_value"),
+        "secret_value",
         F.when(nowhere, "").otherwise(F.md5(_text(kk % 50))).alias("commit_hash"),
         F.array(by_tool(*map(F.lit, TOOLS))).alias("found_by"),
         F.struct("ok", "ln", "pk", "sk").alias("seq"),
@@ -75,13 +81,13 @@ def _run_path(tool: str) -> Column:
 
 def _landing(rows: DataFrame, tool: str, value: Column) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    return rows.select(
+    return once(rows, path=_run_path(tool), value=value).select(
         "repository",
         F.lit(tool).alias("tool"),
-        _run_path(tool).alias("path"),
+        "path",
         zero.alias("block"),
         zero.alias("pos"),
-        value.alias("value"),
+        "value",
     )
 
 
@@ -341,7 +347,7 @@ def unattributed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their source, at a revision named by their content."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("source").alias("repository"),
         F.concat(F.lit("doc-"), _text(F.col("doc_id"))).alias("file_path"),
         F.md5("text").alias("commit_hash"),
@@ -351,7 +357,7 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files of their host, with quotes unescaped."""
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("repository"),
         F.concat(F.lit("page-"), _text(F.col("page_id"))).alias("file_path"),
         F.md5("html").alias("commit_hash"),
@@ -375,7 +381,7 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document at two commits with the same content, the later one listed as well."""
     doc = F.col("doc_id")
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"), "doc_id")
         .select("source", "doc_id", "text", F.explode(F.array(F.lit(2), F.lit(1))).alias("n"))
         .select(
             F.col("source").alias("repository"),

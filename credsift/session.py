@@ -36,7 +36,6 @@ def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
@@ -65,6 +64,12 @@ def shared_dir(spark: SparkSession) -> str:
 _local_dir: str | None = None
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small table one partition per core; tables with more partitions stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -1,0 +1,50 @@
+"""Commits of lines, at the head and at a blob's first revision."""
+
+import random
+
+from credsift.operators.attribution import attribute
+from credsift.schema import FINDING_DDL
+
+
+def test_ranges_blobs_and_blanks(spark):
+    rng = random.Random(2)
+    ranges, owner = [], {}
+    for path in ("a.py", "b.py"):
+        line = 1
+        for n in range(60):
+            last = line + rng.choice([0, 3, 700])
+            commit = f"{path}-{n}"
+            ranges.append(("r", "HEAD", path, line, last, commit))
+            owner.update({(path, k): commit for k in range(line, last + 1)})
+            line = last + 1
+    ranges.append(("r", "first", "gone.py", 1, 900, "old"))
+    blame = spark.createDataFrame(
+        ranges,
+        "repository STRING, revision STRING, file_path STRING, line_start INT, line_end INT, "
+        "commit_hash STRING",
+    )
+    commits = spark.createDataFrame(
+        [("r", "blob", "second", 20), ("r", "blob", "first", 10)],
+        "repository STRING, blob_id STRING, commit_hash STRING, commit_ts INT",
+    )
+    rows, want = [], {}
+
+    def add(path, line, blob, expected, commit=""):
+        fid = str(len(rows))
+        rows.append((fid, "r", path, line, "t", "v", commit, ["titus"], blob))
+        want[fid] = expected
+
+    for _ in range(400):
+        path, line = rng.choice(["a.py", "b.py"]), rng.randint(1, 16000)
+        add(path, line, "blob", owner.get((path, line), ""))
+    add("gone.py", 700, "blob", "old")
+    add("gone.py", 901, "blob", "")
+    add("gone.py", 5, "", "")
+    add("", 5, "blob", "")
+    add("a.py", None, "blob", "")
+    add("a.py", 1, "blob", "given", "given")
+    df = spark.createDataFrame(rows, FINDING_DDL + ", blob_id STRING")
+    got = attribute(df, blame, commits).collect()
+    assert {r.id: r.commit_hash for r in got} == want
+    head_only = attribute(df, blame).filter("file_path = 'gone.py'").collect()
+    assert {r.commit_hash for r in head_only} == {""}
