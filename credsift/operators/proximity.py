@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from credsift.functions.keys import LOCATION, has_location, location_hash
 from credsift.functions.text import core_form, normal_form
 from credsift.operators.rounds import absorb_in_rounds
+from credsift.session import cut
 
 # A location is folded in one array up to this many values and characters.
 FOLD_ROWS = 256
@@ -41,7 +42,8 @@ def absorb_overlapping(
     elsewhere = findings.filter(~has_location()).select(*columns)
     located = findings.filter(has_location())
 
-    crowded = _crowded_locations(located, fold_rows, fold_chars)
+    # as a written table its size is known, so the joins below broadcast it only if it is small
+    crowded = cut(_crowded_locations(located, fold_rows, fold_chars), "crowded")
     if crowded.isEmpty():
         return elsewhere.unionByName(_fold(located, core, columns))
 

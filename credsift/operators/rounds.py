@@ -102,17 +102,28 @@ def core_links(values: DataFrame) -> DataFrame:
     return candidates.join(cores, ["place", "core"], "left_semi")
 
 
-def _around(state: DataFrame, links: DataFrame, measures: dict[str, tuple[str, Column]]):
+def _around(
+    state: DataFrame,
+    links: DataFrame,
+    measures: dict[str, tuple[str, Column]],
+    skip: Column | None = None,
+) -> DataFrame:
     """Per value, each measure over the values it overlaps, itself included.
 
     ``in_*`` covers values holding this value's core, ``of_*`` values whose core this one holds.
+    A value does not count as a holder of the core named by its ``skip``.
     """
     ops = {"min": F.min, "max": F.max}
     marked = state.select(
-        "place", "id", "core", *(expr.alias(name) for name, (_, expr) in measures.items())
+        "place",
+        "id",
+        "core",
+        (F.lit(None).cast("string") if skip is None else skip).alias("skip"),
+        *(expr.alias(name) for name, (_, expr) in measures.items()),
     )
     holders = (
         links.join(marked.drop("core"), ["place", "id"])
+        .filter(F.col("skip").isNull() | (F.col("skip") != F.col("core")))
         .groupBy("place", "core")
         .agg(*(ops[op](n).alias("in_" + n) for n, (op, _) in measures.items()))
     )
@@ -137,7 +148,7 @@ def _next_round(state: DataFrame, links: DataFrame) -> DataFrame:
         live,
         links,
         {
-            "first": ("min", F.struct("position", "id", "status", rank.alias("rank"))),
+            "first": ("min", F.struct("position", "id", "status", rank.alias("rank"), "core")),
             "open": ("min", F.when(is_open, F.col("at"))),
             "near": ("min", F.when(is_alive, F.col("position"))),
             "far": ("max", F.when(is_alive, F.col("position"))),
@@ -151,7 +162,6 @@ def _next_round(state: DataFrame, links: DataFrame) -> DataFrame:
             # does the first neighbour hold this value's core?
             (F.col("in_first.id") == first["id"]).alias("inside"),
             F.least("in_open", "of_open").alias("first_open"),
-            F.col("in_open").alias("first_holder"),
             (
                 is_open
                 & (F.least("in_open", "of_open") == F.col("at"))
@@ -161,26 +171,46 @@ def _next_round(state: DataFrame, links: DataFrame) -> DataFrame:
         "seen",
     )
 
-    # what a survivor must know about the open values around it
+    # What a survivor must know about the open values around it. A value whose core lies in its
+    # first neighbour, a survivor, can neither move nor replace that one. No two survivors share
+    # a core, so the survivor's core names it.
+    to_survivor = F.col("first.status") == _ALIVE
+    harmless = is_open & to_survivor & F.col("inside")
     waiting = _around(
-        seen.drop("in_open"),
+        seen,
+        links,
+        {
+            # open values of one length follow each other, so the survivor's equals come first
+            "mover": ("min", F.when(is_open, F.struct(rank.alias("rank"), "at"))),
+        },
+        skip=F.when(harmless, F.col("first.core")),
+    )
+    # skipped as holders, harmless values still count among those touching several survivors
+    several = _around(
+        seen.select("place", "id", "core", "status", "at", "single"),
         links,
         {
             "several": (
                 "min",
                 F.when(is_open & ~F.coalesce("single", F.lit(False)), F.col("at")),
-            ),
-            # open values of one length follow each other, so the survivor's equals come first
-            "equal": ("min", F.when(is_open, F.struct(rank.alias("rank"), "at"))),
+            )
         },
     )
-    survivors = waiting.filter(is_alive).select(
-        F.col("id").alias("target"),
-        F.col("first_open").alias("target_open"),
-        F.col("first_holder").alias("target_holder"),
-        F.least("in_several", "of_several").alias("target_several"),
-        # an open holder of the survivor's core with the survivor's length may replace it
-        F.when(F.col("in_equal.rank") == rank, F.col("in_equal.at")).alias("target_equal"),
+    survivors = (
+        waiting.filter(is_alive)
+        .select(
+            F.col("id").alias("target"),
+            F.col("first_open").alias("target_open"),
+            F.col("in_mover.at").alias("target_mover"),
+            F.when(F.col("in_mover.rank") == rank, F.col("in_mover.at")).alias("target_equal"),
+        )
+        .join(
+            several.filter(is_alive).select(
+                F.col("id").alias("target"),
+                F.least("in_several", "of_several").alias("target_several"),
+            ),
+            "target",
+        )
     )
 
     def not_before(mark: str) -> Column:
@@ -191,11 +221,10 @@ def _next_round(state: DataFrame, links: DataFrame) -> DataFrame:
     joins = (
         F.when(replaces, F.lit(False))
         .when(F.col("inside") & single, not_before("target_equal"))
-        .when(F.col("inside"), not_before("target_holder"))
+        .when(F.col("inside"), not_before("target_mover"))
         .when(single, not_before("target_equal") & not_before("target_several"))
         .otherwise(not_before("target_open"))
     )
-    to_survivor = F.col("first.status") == _ALIVE
     verdict = (
         F.when(~is_open, "stay")
         .when(F.col("first.id") == F.col("id"), "survive")

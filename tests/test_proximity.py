@@ -69,3 +69,37 @@ def test_random_locations(spark, fold_rows, groups):
     for r in got:
         assert r["secret_value"] == by_id[r["id"]]["secret_value"]
         assert r["secret_type"] == by_id[r["id"]]["secret_type"]
+
+
+def test_crowded_line_with_hubs_takes_few_rounds(spark, monkeypatch):
+    """Padded texts share tiny cores that lie in most values of the line."""
+    from credsift.operators import rounds
+
+    rows = []
+    for n in range(150):
+        token = f"{n:03d}TOKEN{n * 7919 % 1009:04d}X"
+        for value in (token, f'"key" = "AK{token}";', f"KEY={token}_{n}", f"{token[:6]}=="):
+            rows.append(
+                {
+                    "id": f"i{len(rows)}",
+                    "repository": "r",
+                    "file_path": "min.js",
+                    "line_number": 1,
+                    "secret_type": "t",
+                    "secret_value": value,
+                    "commit_hash": "c",
+                    "found_by": ["abcd"[len(rows) % 4]],
+                    "seq": len(rows),
+                }
+            )
+    calls, next_round = [], rounds._next_round
+
+    def counted(*args):
+        calls.append(1)
+        return next_round(*args)
+
+    monkeypatch.setattr(rounds, "_next_round", counted)
+    df = cut(spark.createDataFrame(rows, FINDING_DDL + ", seq BIGINT"), "t")
+    got = absorb_overlapping(df).collect()
+    assert {r["id"]: r["found_by"] for r in got} == _expected(rows)
+    assert 1 <= len(calls) <= 6
