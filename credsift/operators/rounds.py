@@ -233,7 +233,10 @@ def _next_round(state: DataFrame, links: DataFrame) -> DataFrame:
         .otherwise("stay")
     )
     judged = cut(
-        seen.withColumn("target", F.when(is_open & to_survivor, F.col("first.id")))
+        # rows without a survivor name themselves, so that they do not all meet as NULL keys
+        seen.withColumn(
+            "target", F.when(is_open & to_survivor, F.col("first.id")).otherwise(F.col("id"))
+        )
         .join(survivors, "target", "left")
         .withColumn("verdict", verdict),
         "judged",
