@@ -27,15 +27,17 @@ def tool_reports(findings: DataFrame) -> DataFrame:
 
 def summary_by_tool(findings: DataFrame) -> DataFrame:
     """Findings per tool, a finding counting once for each of its tools, and the total."""
-    per_tool = (
-        findings.select(F.explode("found_by").alias("tool")).groupBy("tool").agg(
-            F.count("*").alias("findings")
-        )
+    marks = F.concat("found_by", F.array(F.lit("total")))
+    counts = (
+        findings.select(F.explode(marks).alias("tool"))
+        .groupBy("tool")
+        .agg(F.count("*").alias("findings"))
     )
-    total = findings.agg(F.count("*").alias("findings")).select(
-        F.lit("total").alias("tool"), "findings"
+    # a total of zero must show up as well
+    nothing = findings.sparkSession.range(1).select(
+        F.lit("total").alias("tool"), F.lit(0).cast("bigint").alias("findings")
     )
-    return per_tool.unionByName(total)
+    return counts.unionByName(nothing).groupBy("tool").agg(F.sum("findings").alias("findings"))
 
 
 def distinct_tools(findings: DataFrame) -> DataFrame:

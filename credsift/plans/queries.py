@@ -392,7 +392,7 @@ def _unique(spark, sf_dir) -> DataFrame:
 
 @query
 def summary_by_tool(spark, sf_dir):
-    return reports.summary_by_tool(cut(_unique(spark, sf_dir).select("found_by"), "tools"))
+    return reports.summary_by_tool(_unique(spark, sf_dir))
 
 
 @query

@@ -53,6 +53,8 @@ def test_empty_reports_keep_their_columns(spark, tmp_path):
 def test_counts(spark):
     got = {r.tool: r.findings for r in reports.summary_by_tool(findings(spark)).collect()}
     assert got == {"gitleaks": 1, "trufflehog": 1, "detect-secrets": 2, "total": 3}
+    none = reports.summary_by_tool(empty_findings(spark)).collect()
+    assert [(r.tool, r.findings) for r in none] == [("total", 0)]
     stats = reports.reduction_stats(findings(spark), findings(spark).filter("id = 'aaa'"))
     assert {(r.repository, r.raw_findings, r.unique_findings) for r in stats.collect()} == {
         ("shop", 1, 1), ("blog", 2, 0)}
