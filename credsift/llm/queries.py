@@ -1,0 +1,65 @@
+"""The queries of the corpus operators, each over its whole table, and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from credsift.llm import mixing
+from credsift.llm.common import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing,
+    )
+}
+
+# The same weights, limits and seeded draws as in ``mixing``.
+_MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+              WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight,
+         2e0 * source_size AS most
+  FROM sources),
+before AS (
+  SELECT *, most / weight AS ratio,
+         coalesce(sum(most) OVER w, 0e0) AS capped, coalesce(sum(weight) OVER w, 0e0) AS used,
+         row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS place
+  FROM weighted
+  WINDOW w AS (ORDER BY most / weight, source NULLS LAST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+totals AS (SELECT 1.5e0 * sum(source_size) AS total, sum(weight) AS weights FROM weighted),
+levels AS (
+  SELECT arg_min((total - capped) / (weights - used), place) AS level
+  FROM before, totals WHERE (total - capped) / (weights - used) <= ratio),
+targets AS (
+  SELECT source, source_size, coalesce(least(most, level * weight), most) AS target
+  FROM before, levels),
+rates AS (
+  SELECT doc_id, size, source_size, target, target / source_size AS rate,
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT
+           / 4503599627370496e0 AS draw
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size > 0
+            THEN size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)
+            ELSE 0 END::BIGINT AS taken
+FROM rates
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mixing": _MIXING}
