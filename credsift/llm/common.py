@@ -30,8 +30,13 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A hash over all columns of a row."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    """A hash over all columns of a row; maps, which cannot be hashed, as JSON."""
+
+    def hashable(name: str, kind: str) -> Column:
+        column = F.col("`" + name.replace("`", "``") + "`")
+        return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+
+    return F.xxhash64(*(hashable(name, kind) for name, kind in df.dtypes))
 
 
 def hash_unit(seed: str, key: Column) -> Column:
