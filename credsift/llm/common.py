@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from credsift.session import cut
@@ -13,8 +12,21 @@ from credsift.session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Arrow batches are bounded in bytes as well as rows: some texts are very long.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def word_count(text: Column) -> Column:
@@ -87,9 +99,3 @@ def running_totals(df: DataFrame, order: list[str], values: list[str], label: st
         .withColumns({f"_before_{v}": F.col(f"_before_{v}") + F.col(f"_s_{v}") for v in values})
         .drop("_part", "_n", *(f"_s_{v}" for v in values))
     )
-
-
-def schema_with(df: DataFrame, **fields: str) -> T.StructType:
-    """The schema of ``df`` with further fields given as DDL types."""
-    extra = [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()]
-    return T.StructType([*df.schema.fields, *extra])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsift.llm import mixing, simhash
+from credsift.llm import bpe, mixing, simhash
 from credsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,16 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_source_mixing,
         op2_simhash_dedup,
+        op5_byte_bpe,
     )
 }
 
