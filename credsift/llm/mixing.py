@@ -52,23 +52,15 @@ def source_targets(
     ).withColumn("ratio", F.col("most") / F.col("weight"))
     level = running_totals(weighted, ["ratio", "_last", "source"], ["most", "weight"], "mix-level")
     level = cut(level, "mix-levels")
-    total = level.agg(
-        (F.sum("source_size") * F.lit(float(share))).alias("total"),
-        F.sum("weight").alias("weights"),
+    total, weights_sum = level.agg(F.sum("source_size") * F.lit(float(share)), F.sum("weight")).head()
+    here = (F.lit(total) - F.col("_before_most")) / (
+        F.lit(weights_sum) - F.col("_before_weight")
     )
-    # one row each
-    here = (F.col("total") - F.col("_before_most")) / (F.col("weights") - F.col("_before_weight"))
-    free = (
-        level.crossJoin(F.broadcast(total))
-        .withColumn("level", here)
-        .filter(F.col("level") <= F.col("ratio"))
-        .agg(F.min_by("level", "_index").alias("level"))
-    )
-    share_of = F.col("level") * F.col("weight")
-    return level.drop("level").crossJoin(F.broadcast(free)).select(
-        "source",
-        "source_size",
-        F.coalesce(F.least("most", share_of), F.col("most")).alias("target"),
+    free = level.withColumn("level", here).filter(F.col("level") <= F.col("ratio"))
+    common = free.agg(F.min_by("level", "_index")).head()[0]
+    shared = F.lit(common).cast("double") * F.col("weight")
+    return level.select(
+        "source", "source_size", F.coalesce(F.least("most", shared), F.col("most")).alias("target")
     )
 
 
