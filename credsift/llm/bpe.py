@@ -37,7 +37,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Characters that are cut at once, and pre-tokens kept per worker before the table is renewed.
 CHUNK = 1 << 18
-KEPT = 1 << 20
+KEPT = 1 << 19
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 _QUOTE, _BLANK = ord("'"), ord(" ")
@@ -216,7 +216,7 @@ class Encoder:
         self._renew()
 
     def _renew(self) -> None:
-        size = 4 * self.kept
+        size = 2 * self.kept
         self.keys = np.zeros(size, dtype=np.uint64)  # 0: free
         self.entry = np.zeros(size, dtype=np.int32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)

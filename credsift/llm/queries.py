@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsift.llm import bpe, mixing, simhash, toxicity
+from credsift.llm import bpe, language, mixing, simhash, toxicity
 from credsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,16 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with markup, address and host evidence."""
+    pages = table(spark, sf_dir, "pages")
+    return language.page_languages(pages, table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +44,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_source_mixing,
         op2_simhash_dedup,
+        op4_language_id,
+        language_id_pages,
         op5_byte_bpe,
         op9_toxicity,
     )
