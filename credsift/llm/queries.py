@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsift.llm import bpe, language, mixing, simhash, toxicity
+from credsift.llm import bpe, language, mixing, simhash, token_files, toxicity
 from credsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.files_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.toxicity_digest(documents, table(spark, sf_dir, "labels"))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
         op4_language_id,
         language_id_pages,
         op5_byte_bpe,
+        op7_token_files,
         op9_toxicity,
     )
 }
