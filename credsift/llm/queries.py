@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsift.llm import bpe, language, mixing, simhash, token_files, toxicity
+from credsift.llm import bpe, language, mixing, simhash, token_files, topk, toxicity
 from credsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.files_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.hundredth_queries(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.toxicity_digest(documents, table(spark, sf_dir, "labels"))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
         language_id_pages,
         op5_byte_bpe,
         op7_token_files,
+        op8_exact_topk,
         op9_toxicity,
     )
 }
@@ -95,4 +100,21 @@ SELECT doc_id, size, source_size, target,
 FROM rates
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": _MIXING}
+_TOPK = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024e0 * x::DOUBLE)::BIGINT) AS ints
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_inner_product(q.ints::DOUBLE[], c.ints::DOUBLE[])::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+                         AND len(q.ints) = len(c.ints)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mixing": _MIXING, "op8_exact_topk": _TOPK}
