@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credsift.llm import bpe, language, mixing, simhash, token_files, topk, toxicity
+from credsift.llm import (
+    bpe,
+    language,
+    mixing,
+    quality_rules,
+    simhash,
+    token_files,
+    topk,
+    toxicity,
+)
 from credsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +43,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_rules.rules_digest(documents, table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.files_digest(table(spark, sf_dir, "documents"))
 
@@ -55,6 +69,7 @@ QUERIES: dict[str, Query] = {
         op4_language_id,
         language_id_pages,
         op5_byte_bpe,
+        op6_quality_rules,
         op7_token_files,
         op8_exact_topk,
         op9_toxicity,
