@@ -10,6 +10,7 @@ from credsift.llm import (
     bpe,
     language,
     mixing,
+    quality,
     quality_rules,
     simhash,
     token_files,
@@ -61,6 +62,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(documents, table(spark, sf_dir, "labels"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.quality_digest(documents, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
         op7_token_files,
         op8_exact_topk,
         op9_toxicity,
+        op10_quality,
     )
 }
 
