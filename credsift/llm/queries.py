@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from credsift.llm import (
     bpe,
+    chat,
     language,
     mixing,
     quality,
@@ -30,6 +31,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatting_digest(spark, table(spark, sf_dir, "conversations"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_source_mixing,
         op2_simhash_dedup,
+        op3_chat_format,
         op4_language_id,
         language_id_pages,
         op5_byte_bpe,
