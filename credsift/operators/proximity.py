@@ -4,8 +4,9 @@ At each location the longest value comes first; a later value whose core lies in
 earlier survivor joins it, and a survivor whose core lies inside a later value joins forces
 with that value. The longer value is always the one kept, the tools are united.
 
-Locations of ordinary size are folded in order inside one array. Larger ones go through
-``absorb_in_rounds``, which reaches the same result without ever gathering a location.
+Locations of a few values are folded in order inside one array. In larger ones the overlaps are
+found first, and only values that overlap, directly or over others, are folded together; the
+result is the same.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from credsift.functions.keys import LOCATION, has_location, location_hash
 from credsift.functions.text import core_form, normal_form
-from credsift.operators.rounds import absorb_in_rounds
+from credsift.operators.overlaps import absorb_linked
 from credsift.session import cut
 
-# A location is folded in one array up to this many values and characters.
+# A location is folded in one array up to this many values and characters. A single value has
+# nothing to meet, however long it is.
 FOLD_ROWS = 256
 FOLD_CHARS = 4_000_000
 
@@ -51,7 +53,7 @@ def absorb_overlapping(
     quiet = located.join(crowded, "_place", "left_anti")
     busy = located.join(crowded, "_place", "left_semi").drop("_place")
     return elsewhere.unionByName(_fold(quiet, core, columns)).unionByName(
-        absorb_in_rounds(busy.withColumn("core", core)).select(*columns)
+        absorb_linked(busy.withColumn("core", core)).select(*columns)
     )
 
 
@@ -60,7 +62,7 @@ def _crowded_locations(located: DataFrame, rows: int, chars: int) -> DataFrame:
     return (
         located.groupBy(location_hash().alias("_place"))
         .agg(F.count("*").alias("_rows"), F.sum(F.length("norm")).alias("_chars"))
-        .filter((F.col("_rows") > rows) | (F.col("_chars") > chars))
+        .filter((F.col("_rows") > 1) & ((F.col("_rows") > rows) | (F.col("_chars") > chars)))
         .select("_place")
     )
 

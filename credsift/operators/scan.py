@@ -19,6 +19,7 @@ from credsift.functions.entropy import shannon_entropy
 from credsift.functions.keys import finding_id
 from credsift.functions.text import strip_space
 from credsift.schema import FINDING_COLUMNS
+from credsift.session import cut
 
 # The styles of scanning, in the order in which their findings arrive.
 STYLES = ["rules", "entropy", "keywords", "context"]
@@ -30,7 +31,11 @@ LINE_BREAK = r"\r\n|\r|\n"
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, the group holding the value, and texts of which any match contains one."""
+    """A pattern, the group holding the value, and texts of which any match contains one.
+
+    A rule with a ``block_pattern`` takes the block that begins in the line, over as many lines
+    as it has, and the match in the line alone only where no such block ends.
+    """
 
     name: str
     pattern: str
@@ -38,6 +43,7 @@ class Rule:
     literals: tuple[str, ...] = ()
     any_case: bool = False
     gate_pattern: str | None = None
+    block_pattern: str | None = None
 
     def gate(self, text: Column) -> Column:
         """Cheap test that no text with a match fails; searching a text beats a pattern."""
@@ -59,7 +65,12 @@ RULES = [
     Rule("aws-access-token", r"AKIA[0-9A-Z]{16}", literals=("AKIA",)),
     Rule("github-token", r"ghp_[0-9A-Za-z]{16,}", literals=("ghp_",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", literals=("eyJ",)),
-    Rule("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", literals=("-----BEGIN ",)),
+    Rule(
+        "private-key",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+        literals=("-----BEGIN ",),
+        block_pattern=r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
+    ),
     Rule(
         "url-credentials",
         r"[a-z][a-z0-9+.-]*://[^ \t:/@]+:[^ \t/@]+@[^ \t\"'<>]+",
@@ -105,6 +116,34 @@ def text_lines(texts: DataFrame) -> DataFrame:
     ).select(*rest, (F.col("line_pos") + 1).alias("line_number"), "line")
 
 
+def _scanned_lines(texts: DataFrame) -> DataFrame:
+    """Numbered lines, with the block that begins in a line where a rule asks for it.
+
+    Line breaks inside blocks are line feeds. Only lines with a block's first literal look at
+    the lines after them.
+    """
+    blocks = [rule for rule in RULES if rule.block_pattern]
+    lines = F.split("text", LINE_BREAK)
+
+    def block(line: Column, pos: Column) -> Column:
+        begins = reduce(or_, (F.contains(line, F.lit(w)) for r in blocks for w in r.literals))
+        rest = F.array_join(F.slice(lines, pos + 1, F.size(lines)), "\n")
+        found = [F.regexp_extract_all(rest, F.lit(r.block_pattern), F.lit(0)) for r in blocks]
+        inside = [
+            F.slice(blocks_of, F.lit(1), F.size(F.regexp_extract_all(line, F.lit(r.pattern), F.lit(0))))
+            for r, blocks_of in zip(blocks, found, strict=True)
+        ]
+        return F.when(begins, F.struct(*(x.alias(r.name) for r, x in zip(blocks, inside, strict=True))))
+
+    rest = [c for c in texts.columns if c != "text"]
+    numbered = F.transform(
+        lines, lambda line, pos: F.struct(line.alias("line"), block(line, pos).alias("blocks"))
+    )
+    return texts.select(*rest, F.posexplode(numbered).alias("line_pos", "l")).select(
+        *rest, (F.col("line_pos") + 1).alias("line_number"), "l.line", "l.blocks"
+    )
+
+
 def _candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     """Texts in which at least one rule may match. Rules with equal gates share one test."""
     gates = {}
@@ -116,6 +155,9 @@ def _candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
 def _hits(style: str, rule: Rule, keep: Callable[[Column], Column] | None = None) -> Column:
     """All matches of a rule in the line."""
     found = F.regexp_extract_all(F.col("line"), F.lit(rule.pattern), F.lit(rule.group))
+    if rule.block_pattern:
+        whole = F.col("blocks")[rule.name]
+        found = F.when(F.size(whole) > 0, whole).otherwise(found)
     if keep is not None:
         found = F.filter(found, keep)
     hits = F.transform(
@@ -186,28 +228,28 @@ def _by_entropy() -> list[Column]:
 
 def scan_rules(texts: DataFrame) -> DataFrame:
     """The value alone, by rule."""
-    return _findings(text_lines(_candidates(texts, RULES)), *_by_rules())
+    return _findings(_scanned_lines(_candidates(texts, RULES)), *_by_rules())
 
 
 def scan_entropy(texts: DataFrame) -> DataFrame:
     """Long tokens that look random."""
-    return _findings(text_lines(_candidates(texts, [CANDIDATE])), *_by_entropy())
+    return _findings(_scanned_lines(_candidates(texts, [CANDIDATE])), *_by_entropy())
 
 
 def scan_keyword_lines(texts: DataFrame) -> DataFrame:
     """The whole line around a keyword."""
-    lines = text_lines(_candidates(texts, [KEYWORD]))
+    lines = _scanned_lines(_candidates(texts, [KEYWORD]))
     return _findings(lines, _line_hit("keywords", KEYWORD))
 
 
 def scan_with_context(texts: DataFrame) -> DataFrame:
     """The value together with the assignment around it."""
-    return _findings(text_lines(_candidates(texts, [CONTEXT])), _hits("context", CONTEXT))
+    return _findings(_scanned_lines(_candidates(texts, [CONTEXT])), _hits("context", CONTEXT))
 
 
 def scan_all(texts: DataFrame) -> DataFrame:
     """All styles in one pass over the texts."""
-    lines = text_lines(_candidates(texts, [CANDIDATE, KEYWORD, CONTEXT, *RULES]))
+    lines = _scanned_lines(_candidates(texts, [CANDIDATE, KEYWORD, CONTEXT, *RULES]))
     return _findings(
         lines,
         *_by_rules(),
@@ -224,8 +266,12 @@ def scan_history(versions: DataFrame) -> DataFrame:
     are dropped before contents are compared. The commit reported is the earliest one holding
     the content at that path.
     """
-    candidates = _candidates(versions, RULES).withColumn("blob_id", F.sha2("text", 256))
-    contents = candidates.groupBy("blob_id").agg(F.min("text").alias("text"))
+    # written once: both branches below read it, and only texts that can match are in it
+    candidates = cut(
+        _candidates(versions, RULES).withColumn("blob_id", F.sha2("text", 256)), "scan-candidates"
+    )
+    # equal contents have equal texts, so any of them serves
+    contents = candidates.select("blob_id", "text").dropDuplicates(["blob_id"])
     occurrences = (
         candidates.groupBy("repository", "file_path", "blob_id")
         .agg(F.min(F.struct("commit_ts", "commit_hash")).alias("first"))
@@ -235,5 +281,5 @@ def scan_history(versions: DataFrame) -> DataFrame:
     )
     # only lines with a hit meet their occurrences
     any_hit = reduce(or_, (F.col("line").rlike(rule.pattern) for rule in RULES))
-    lines = text_lines(contents).filter(any_hit).join(occurrences, "blob_id")
+    lines = _scanned_lines(contents).filter(any_hit).join(occurrences, "blob_id")
     return _findings(lines, *_by_rules())

@@ -66,7 +66,7 @@ def lineitem_findings(
         ).alias("secret_type"),
         "secret_value",
         F.when(nowhere, "").otherwise(F.md5(_text(kk % 50))).alias("commit_hash"),
-        F.array(by_tool(*map(F.lit, TOOLS))).alias("found_by"),
+        F.array(by_tool(*map(F.lit, TOOLS[:4]))).alias("found_by"),
         F.struct("ok", "ln", "pk", "sk").alias("seq"),
     )
     return rows.withColumn(
@@ -257,6 +257,89 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def absolute_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same paths below each repository's folder."""
+    whole = F.concat(F.lit("/srv/"), "repository", F.lit("/"), "path")
+    return provenance(spark, sf_dir).withColumn(
+        "path", F.when(F.col("path") != "", whole).otherwise("")
+    )
+
+
+def repository_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _event_marks(spark, sf_dir)
+        .select("repository")
+        .distinct()
+        .select(
+            "repository",
+            F.concat(F.lit("/srv/"), "repository").alias("absolute_root"),
+            F.col("repository").alias("given_root"),
+        )
+    )
+
+
+def estate_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blamed ranges of the files that blobs name. Every fourth file has left the head: it is
+    blamed at the first revision, and wrongly at a later one."""
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("int")
+    ranges = F.array(
+        *(
+            F.struct(F.lit(a).alias("line_start"), F.lit(b).alias("line_end"), F.lit(n).alias("n"))
+            for n, (a, b) in enumerate([(1, 10), (11, 2_000_000_000)])
+        )
+    )
+    right = F.md5(F.concat_ws("-", "path", _text(F.col("r.n"))))
+    gone = number % 4 == 0
+    at = F.when(
+        gone,
+        F.array(
+            F.struct(_first_revision().alias("revision"), right.alias("commit")),
+            F.struct(_later_revision().alias("revision"), F.lit("wrong").alias("commit")),
+        ),
+    ).otherwise(F.array(F.struct(F.lit("HEAD").alias("revision"), right.alias("commit"))))
+    return (
+        _event_marks(spark, sf_dir)
+        .select("repository", "path")
+        .distinct()
+        .select("repository", "path", F.explode(ranges).alias("r"))
+        .select("repository", "path", "r", F.explode(at).alias("a"))
+        .select(
+            "repository",
+            "a.revision",
+            F.col("path").alias("file_path"),
+            "r.line_start",
+            "r.line_end",
+            F.col("a.commit").alias("commit_hash"),
+        )
+    )
+
+
+def _first_revision() -> Column:
+    return F.md5(F.concat(F.lit("first-"), "repository"))
+
+
+def _later_revision() -> Column:
+    return F.md5(F.concat(F.lit("later-"), "repository"))
+
+
+def estate_blob_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits of every blob."""
+    both = F.array(
+        F.struct(_later_revision().alias("commit_hash"), F.lit(10**9).alias("late")),
+        F.struct(_first_revision().alias("commit_hash"), F.lit(0).alias("late")),
+    )
+    return (
+        _event_marks(spark, sf_dir)
+        .select("repository", "blob_id", "event_id", F.explode(both).alias("c"))
+        .select(
+            "repository",
+            "blob_id",
+            "c.commit_hash",
+            F.timestamp_seconds(F.col("event_id") + F.col("c.late")).alias("commit_ts"),
+        )
+    )
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text report lines of all repositories: files, blobs, colours and other text."""
     kind = F.col("event_id") % 5
@@ -347,7 +430,7 @@ def unattributed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their source, at a revision named by their content."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("repository"),
         F.concat(F.lit("doc-"), _text(F.col("doc_id"))).alias("file_path"),
         F.md5("text").alias("commit_hash"),
@@ -357,7 +440,7 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files of their host, with quotes unescaped."""
-    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("repository"),
         F.concat(F.lit("page-"), _text(F.col("page_id"))).alias("file_path"),
         F.md5("html").alias("commit_hash"),
@@ -377,11 +460,30 @@ def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents followed by two private keys of their own, the second with other line ends."""
+
+    def part(letter: str) -> Column:
+        return F.md5(F.concat(_text(F.col("doc_id")), F.lit(letter)))
+
+    keys = F.concat(
+        F.lit("\n-----BEGIN RSA PRIVATE KEY-----\n"), part("a"), F.lit("\n"), part("b"),
+        F.lit("\n-----END RSA PRIVATE KEY-----\nbetween\n-----BEGIN PRIVATE KEY-----\r\n"),
+        part("c"), F.lit("\r\n-----END PRIVATE KEY-----"),
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repository"),
+        F.concat(F.lit("doc-"), _text(F.col("doc_id"))).alias("file_path"),
+        F.md5(_text(F.col("doc_id"))).alias("commit_hash"),
+        F.concat("text", keys).alias("text"),
+    )
+
+
 def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document at two commits with the same content, the later one listed as well."""
     doc = F.col("doc_id")
     return (
-        spread(table(spark, sf_dir, "documents"), "doc_id")
+        table(spark, sf_dir, "documents")
         .select("source", "doc_id", "text", F.explode(F.array(F.lit(2), F.lit(1))).alias("n"))
         .select(
             F.col("source").alias("repository"),

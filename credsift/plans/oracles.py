@@ -515,19 +515,34 @@ ORACLES["dedup_pass3"] = f"{DEDUP}{flat('pass3')}"
 ORACLES["dedup_pass3_rounds"] = ORACLES["dedup_pass3"]
 ORACLES["dedup_findings"] = ORACLES["dedup_pass3"]
 ORACLES["pass3_contained"] = f"""WITH {FOUND},
-{passes()}
-SELECT {COLUMNS} FROM pass2 AS a
-WHERE file_path = '' OR line_number IS NULL OR commit_hash = '' OR NOT EXISTS (
-  SELECT 1 FROM pass2 AS b
-  WHERE b.repository = a.repository AND b.file_path = a.file_path
-    AND b.line_number = a.line_number AND b.commit_hash = a.commit_hash
-    AND b.norm <> a.norm AND contains(b.norm, a.norm))"""
+pass1 AS ({merge('found', 'id')}),
+pass2 AS ({merge('pass1', 'repository, norm')}),
+whole AS ({absorb('pass2', False)})
+{flat('whole')}"""
 ORACLES["dedup_many_secrets"] = f"WITH {found(40000, 64)},\n{passes()}\n{flat('pass3')}"
 ORACLES["dedup_per_repo"] = f"""{DEDUP}
 SELECT repository, count(*) AS findings, min(id) AS first_id, max(id) AS last_id,
        CAST(sum(len(found_by)) AS BIGINT) AS tool_mentions
 FROM pass3 GROUP BY repository"""
-ORACLES["reports_to_findings"] = f"WITH {ALL_TOOLS},\n{passes()}\n{flat('pass3')}"
+# the right commit of a line names its file and whether it comes after the tenth line
+ORACLES["reports_to_findings"] = f"""WITH {ALL_TOOLS},
+blamed AS (
+  SELECT * REPLACE (
+    CASE WHEN commit_hash = '' AND file_path LIKE 'src/e%' AND line_number IS NOT NULL
+         THEN md5(file_path || '-' || CASE WHEN line_number <= 10 THEN 0 ELSE 1 END)
+         ELSE commit_hash END AS commit_hash)
+  FROM found),
+{passes('blamed')}
+{flat('pass3')}"""
+ORACLES["custom_tool"] = f"""WITH {FOUND},
+plain AS (
+  SELECT repository, file_path, line_number,
+         regexp_replace(secret_value, '[^A-Z0-9]', '', 'g') AS secret_value
+  FROM found WHERE line_number IS NOT NULL)
+SELECT {finding_id('repository', 'file_path', 'secret_value')} AS id, repository, file_path,
+       line_number, 'line' AS secret_type, secret_value, '' AS commit_hash,
+       'linescan' AS found_by
+FROM plain"""
 
 # reports
 
@@ -553,8 +568,7 @@ ORACLES["report_empty"] = f"{DEDUP} SELECT {GENERAL} FROM pass3 WHERE false"
 ORACLES["streaming_ingest"] = f"""WITH {marked()}, {TRUFFLEHOG},
 normed AS (SELECT *, {norm('secret_value')} AS norm FROM trufflehog),
 merged AS ({merge('normed', 'id')})
-SELECT id, repository, file_path, secret_type, secret_value, found_by[1] AS found_by
-FROM merged"""
+{flat('merged')}"""
 
 # scans
 
@@ -634,6 +648,23 @@ by_context AS ({scanned('context_hits', 'context', 3)})"""
 ORACLES["text_lines"] = f"""WITH {TEXTS.split('UNION ALL')[0]}), {lines('texts')}
 SELECT file_path, CAST(line_number AS INTEGER) AS line_number, line FROM lines"""
 ORACLES["scan_rules"] = f"WITH {SCANS} {flat('by_rules')}"
+KEYS = """keys AS (
+  SELECT source AS repository, 'doc-' || doc_id AS file_path, md5(CAST(doc_id AS VARCHAR)) AS commit_hash,
+         len(regexp_extract_all(text || chr(10), '\\r\\n|\\r|\\n')) AS above,
+         '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5(doc_id || 'a') || chr(10)
+           || md5(doc_id || 'b') || chr(10) || '-----END RSA PRIVATE KEY-----' AS first_key,
+         '-----BEGIN PRIVATE KEY-----' || chr(10) || md5(doc_id || 'c') || chr(10)
+           || '-----END PRIVATE KEY-----' AS second_key
+  FROM documents),
+each AS (
+  SELECT repository, file_path, commit_hash, above + 1 AS line_number, first_key AS secret_value
+  FROM keys
+  UNION ALL SELECT repository, file_path, commit_hash, above + 6, second_key FROM keys)"""
+ORACLES["scan_private_keys"] = f"""WITH {KEYS}
+SELECT {finding_id('repository', 'file_path', 'secret_value')} AS id, repository, file_path,
+       CAST(line_number AS INTEGER) AS line_number, 'private-key' AS secret_type, secret_value,
+       commit_hash, 'rules' AS found_by
+FROM each"""
 ORACLES["scan_entropy"] = f"""WITH {SCANS}
 SELECT *, round({BITS.format('secret_value')}, 6) AS bits FROM ({flat('by_entropy')})"""
 ORACLES["scan_keyword_lines"] = f"WITH {SCANS} {flat('by_keywords')}"

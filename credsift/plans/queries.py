@@ -15,7 +15,7 @@ from credsift.operators import attribution, dedup, reports, scan
 from credsift.operators.merge import merge_by, union_of_tools, with_norm
 from credsift.operators.proximity import absorb_overlapping
 from credsift.plans import inputs
-from credsift.schema import FINDING_COLUMNS
+from credsift.schema import FINDING_COLUMNS, arrival
 from credsift.session import cut, fresh_path, tune
 from credsift.sources import blobs, detect_secrets, landing, registry, titus, trufflehog
 from credsift.streaming import ingest
@@ -351,7 +351,7 @@ def dedup_pass3_rounds(spark, sf_dir):
 def pass3_contained(spark, sf_dir):
     """Absorption by whole values only."""
     merged = cut(dedup.merge_same_secret(_pass1(spark, sf_dir)), "merged")
-    return absorb_overlapping(merged, use_core=False).select(*FINDING_COLUMNS[:-1])
+    return flat(absorb_overlapping(merged, use_core=False))
 
 
 @query
@@ -379,8 +379,62 @@ def dedup_per_repo(spark, sf_dir):
 
 @query
 def reports_to_findings(spark, sf_dir):
-    """Raw reports of all tools, read, looked up, attributed and deduplicated."""
-    return flat(dedup.dedup_findings(_all_findings(spark, sf_dir)))
+    """Raw reports of all tools, read, looked up, attributed and deduplicated.
+
+    Provenance names absolute paths; files that left the head are blamed at their blob's first
+    revision.
+    """
+    paths = blobs.relative_paths(
+        blobs.blob_paths(
+            inputs.absolute_provenance(spark, sf_dir), inputs.report_lines(spark, sf_dir)
+        ),
+        inputs.repository_roots(spark, sf_dir),
+    )
+    found = registry.read_findings(
+        inputs.all_reports(spark, sf_dir),
+        detect_secrets={"lines": inputs.source_lines(spark, sf_dir)},
+        titus={"blob_paths": paths},
+    )
+    found = attribution.attribute(
+        found, inputs.estate_blame(spark, sf_dir), inputs.estate_blob_commits(spark, sf_dir)
+    )
+    return flat(dedup.dedup_findings(found))
+
+
+@query
+def custom_tool(spark, sf_dir):
+    """A fifth tool, made known by one registration, from its reports in a drop area."""
+
+    def reader(raw: DataFrame) -> DataFrame:
+        part = F.split("value", "\t")
+        return raw.filter(F.col("tool") == "linescan").select(
+            finding_id(F.col("repository"), part[0], part[2]).alias("id"),
+            "repository",
+            part[0].alias("file_path"),
+            part[1].cast("int").alias("line_number"),
+            F.lit("line").alias("secret_type"),
+            part[2].alias("secret_value"),
+            F.lit("").alias("commit_hash"),
+            F.array(F.lit("linescan")).alias("found_by"),
+            arrival(
+                "linescan", F.col("path"), F.col("block"), F.lit(""), F.col("pos"), F.lit(0)
+            ).alias("seq"),
+        )
+
+    drop = fresh_path(spark, "custom-drop")
+    found = inputs.lineitem_findings(spark, sf_dir).filter("line_number IS NOT NULL")
+    found.select(
+        "repository",
+        F.concat_ws(
+            "\t", "file_path", "line_number", F.regexp_replace("secret_value", "[^A-Z0-9]", "")
+        ).alias("value"),
+    ).write.partitionBy("repository").text(drop)
+    registry.register("linescan", reader, raw_name=".txt", by_line=True)
+    try:
+        reports = landing.read_landing(spark, drop, ["linescan"])
+        return flat(registry.read_findings(reports, ["linescan"]))
+    finally:
+        registry.unregister("linescan")
 
 
 # reports
@@ -443,8 +497,9 @@ def streaming_ingest(spark, sf_dir):
     drop, state = f"{base}/drop", f"{base}/state"
     (
         inputs.trufflehog_reports(spark, sf_dir)
+        .repartition("repository")
+        .sortWithinPartitions("repository", "path")
         .select("repository", "value")
-        .hint("rebalance", "repository")
         .write.partitionBy("repository")
         .text(drop)
     )
@@ -457,10 +512,7 @@ def streaming_ingest(spark, sf_dir):
         pattern="part-*.txt",
         files_per_batch=3,
     ).awaitTermination()
-    found = ingest.current_by_id(spark, state)
-    return flat(found).select(
-        "id", "repository", "file_path", "secret_type", "secret_value", "found_by"
-    )
+    return flat(ingest.current_by_id(spark, state))
 
 
 # scans
@@ -486,6 +538,13 @@ def scan_rules(spark, sf_dir):
     return flat(scan.scan_rules(_texts(spark, sf_dir)))
 
 
+@query
+def scan_private_keys(spark, sf_dir):
+    """Whole keys over several lines, several of them in one text, after deduplication."""
+    found = scan.scan_rules(inputs.key_texts(spark, sf_dir))
+    return flat(dedup.dedup_findings(found.filter(F.col("secret_type") == "private-key")))
+
+
 @query
 def scan_entropy(spark, sf_dir):
     found = scan.scan_entropy(_texts(spark, sf_dir))

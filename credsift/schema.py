@@ -22,7 +22,7 @@ FINDING_DDL = (
     "secret_type STRING, secret_value STRING, commit_hash STRING, found_by ARRAY<STRING>"
 )
 
-# The tools, in the order in which their findings arrive.
+# The tools, in the order in which their findings arrive. Registered tools follow.
 TOOLS = ["gitleaks", "trufflehog", "detect-secrets", "titus"]
 
 # Arrival order of a finding. Only comparisons inside one repository matter, so a struct of

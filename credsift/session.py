@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -70,8 +73,28 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+_workspaces: list[str] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of this block go to a folder that is removed at its end.
+
+    Results must be written or collected inside the block, as their plans read those tables.
+    """
+    path = fresh_path(spark, "workspace")
+    _workspaces.append(path)
+    try:
+        yield path
+    finally:
+        _workspaces.remove(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    base = _workspaces[-1] if _workspaces else shared_dir(spark)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

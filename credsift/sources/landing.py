@@ -34,21 +34,38 @@ RAW_NAMES = {
 LINE_DELIMITED = {"trufflehog"}
 
 
+def add_tool(tool: str, raw_name: str, by_line: bool) -> None:
+    """Make the raw reports of a further tool known; it arrives after the others."""
+    RAW_NAMES[tool] = raw_name
+    (LINE_DELIMITED.add if by_line else LINE_DELIMITED.discard)(tool)
+    if tool not in TOOLS:
+        TOOLS.append(tool)
+
+
+def drop_tool(tool: str) -> None:
+    RAW_NAMES.pop(tool, None)
+    LINE_DELIMITED.discard(tool)
+    if tool in TOOLS:
+        TOOLS.remove(tool)
+
+
 def read_landing(
-    spark: SparkSession, root: str, tools: Iterable[str] = tuple(TOOLS)
+    spark: SparkSession, root: str, tools: Iterable[str] | None = None, levels: int = 1
 ) -> DataFrame:
-    """Reports below ``root`` for the chosen tools; unknown tool names are ignored.
+    """Reports below ``root`` for the chosen tools (all if None); unknown names are ignored.
 
-    Only files of chosen tools are listed. A missing folder or report yields no rows.
+    Only files of chosen tools are listed. A missing folder or report yields no rows. A
+    repository is named by its last ``levels`` folders, so that ``org1/api`` and ``org2/api``
+    can be told apart.
     """
     landing = spark.createDataFrame([], LANDING_DDL)
-    for tool in dict.fromkeys(tools):
+    for tool in dict.fromkeys(TOOLS if tools is None else tools):
         if tool in RAW_NAMES:
-            landing = landing.unionByName(_read_tool(spark, root, tool))
+            landing = landing.unionByName(_read_tool(spark, root, tool, levels))
     return landing
 
 
-def _read_tool(spark: SparkSession, root: str, tool: str) -> DataFrame:
+def _read_tool(spark: SparkSession, root: str, tool: str, levels: int) -> DataFrame:
     reader = (
         spark.read.option("pathGlobFilter", f"*{RAW_NAMES[tool]}")
         .option("recursiveFileLookup", "true")
@@ -61,10 +78,16 @@ def _read_tool(spark: SparkSession, root: str, tool: str) -> DataFrame:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LANDING_DDL)
+    return landing_rows(files, tool, levels)
+
+
+def landing_rows(files: DataFrame, tool: str, levels: int = 1) -> DataFrame:
+    """Landing rows of text files that were just read, in a batch or a stream."""
     path = _decoded(F.col("_metadata.file_path"))
+    by_line = tool in LINE_DELIMITED
     # a split is read by one task from start to end, so (split, row in task) is line order
     return files.select(
-        repository_of(path).alias("repository"),
+        repository_of(path, levels).alias("repository"),
         F.lit(tool).alias("tool"),
         path.alias("path"),
         (F.col("_metadata.file_block_start") if by_line else F.lit(0)).cast("bigint")
@@ -74,10 +97,10 @@ def _read_tool(spark: SparkSession, root: str, tool: str) -> DataFrame:
     )
 
 
-def repository_of(path: Column) -> Column:
-    """The folder that holds the report, plain or written as ``repository=<name>``."""
-    folder = last_path_part(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
-    return F.regexp_replace(folder, "^repository=", "")
+def repository_of(path: Column, levels: int = 1) -> Column:
+    """The folders that hold the report, plain or written as ``repository=<name>``."""
+    folders = F.regexp_extract(path, rf"((?:[^/]*/){{0,{levels - 1}}}[^/]*)/[^/]*$", 1)
+    return F.regexp_replace(folders, "(^|/)repository=", "$1")
 
 
 def _decoded(uri: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsift.schema import FINDING_COLUMNS
-from credsift.sources import detect_secrets, gitleaks, titus, trufflehog
+from credsift.sources import detect_secrets, gitleaks, landing, titus, trufflehog
 
 Reader = Callable[..., DataFrame]
 
@@ -16,10 +16,30 @@ _readers: dict[str, Reader] = {}
 _rejects: dict[str, Reader] = {}
 
 
-def register(tool: str, reader: Reader, rejects: Reader | None = None) -> None:
+def register(
+    tool: str,
+    reader: Reader,
+    rejects: Reader | None = None,
+    raw_name: str | None = None,
+    by_line: bool = False,
+) -> None:
+    """Add a tool, or replace one.
+
+    ``reader`` turns landing rows into findings with ``seq`` (see ``schema.arrival``).
+    ``raw_name`` is what the names of its raw reports end in; with it, the drop area, the stream
+    and the arrival order know the tool, too. ``by_line``: reports have one record per line.
+    """
     _readers[tool] = reader
     if rejects is not None:
         _rejects[tool] = rejects
+    if raw_name is not None:
+        landing.add_tool(tool, raw_name, by_line)
+
+
+def unregister(tool: str) -> None:
+    _readers.pop(tool, None)
+    _rejects.pop(tool, None)
+    landing.drop_tool(tool)
 
 
 register(gitleaks.TOOL, gitleaks.findings, gitleaks.rejects)
@@ -32,9 +52,11 @@ def known_tools() -> list[str]:
     return list(_readers)
 
 
-def read_findings(landing: DataFrame, tools: Iterable[str] | None = None, **lookups) -> DataFrame:
+def read_findings(reports: DataFrame, tools: Iterable[str] | None = None, **lookups) -> DataFrame:
     """Findings of all chosen tools as one bag; unknown tools are ignored.
 
+    ``blob_id`` is the blob a finding was made in, for attribution; '' where a tool names none.
+
     ``lookups`` maps a tool name with ``_`` for ``-`` to keyword arguments of its reader, for
     example ``titus={"blob_paths": paths}``.
     """
@@ -42,21 +64,23 @@ def read_findings(landing: DataFrame, tools: Iterable[str] | None = None, **look
     for tool in known_tools() if tools is None else tools:
         if tool not in _readers:
             continue
-        part = _readers[tool](landing, **lookups.get(tool.replace("-", "_"), {}))
+        part = _readers[tool](reports, **lookups.get(tool.replace("-", "_"), {}))
         missing = [c for c in [*FINDING_COLUMNS, "seq"] if c not in part.columns]
         if missing:
             raise ValueError(f"reader of {tool} lacks {missing}")
-        part = part.select(*FINDING_COLUMNS, "seq")
+        if "blob_id" not in part.columns:
+            part = part.withColumn("blob_id", F.lit(""))
+        part = part.select(*FINDING_COLUMNS, "seq", "blob_id")
         union = part if union is None else union.unionByName(part)
     if union is None:
-        union = read_findings(landing, [gitleaks.TOOL]).filter(F.lit(False))
+        union = read_findings(reports, [gitleaks.TOOL]).filter(F.lit(False))
     return union
 
 
-def read_rejects(landing: DataFrame) -> DataFrame:
+def read_rejects(reports: DataFrame) -> DataFrame:
     """Reports and records that could not be used, with the reason."""
     union: DataFrame | None = None
     for reader in _rejects.values():
-        part = reader(landing)
+        part = reader(reports)
         union = part if union is None else union.unionByName(part)
     return union

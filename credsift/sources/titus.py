@@ -46,7 +46,10 @@ def _seq(sub: Column) -> Column:
 
 
 def _exploded(landing: DataFrame) -> DataFrame:
-    """One row per match; ``usable`` when every level that is present is an object."""
+    """One row per match, and one (``match_pos`` NULL) per record without any.
+
+    ``usable`` tells whether every level of the match that is present is an object.
+    """
     match = F.col("match")
     usable = V.is_object(match)
     for path in ("$.Snippet", "$.Location", "$.Location.Source", "$.Location.Source.Start"):
@@ -58,73 +61,64 @@ def _exploded(landing: DataFrame) -> DataFrame:
             "path",
             "block",
             "record_pos",
+            "record",
             "rule",
-            F.posexplode("matches").alias("match_pos", "match"),
+            "groups",
+            F.posexplode_outer("matches").alias("match_pos", "match"),
         )
-        .withColumn("usable", usable)
+        .withColumn("usable", F.col("match_pos").isNull() | usable)
     )
 
 
-def matches(landing: DataFrame) -> DataFrame:
-    """One row per match with a secret: rule, value, line and blob."""
-    match = F.col("match")
+def located_findings(landing: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
+    """All titus findings, commits still blank, with the blob of each match (``blob_id``).
+
+    A match takes its file from ``blob_paths`` (repository, blob_id, path). A record without
+    matches has its first group as the value and no location.
+    """
+    match, lone = F.col("match"), F.col("match_pos").isNull()
     found = _decoded(
         _exploded(landing).filter("usable"),
-        F.try_variant_get(match, "$.Snippet.Matching", "string"),
-    )
-    return found.select(
+        F.when(lone, F.get("groups", F.lit(0)).try_cast("string")).otherwise(
+            F.try_variant_get(match, "$.Snippet.Matching", "string")
+        ),
+    ).select(
         "repository",
-        F.coalesce(F.try_variant_get(match, "$.BlobID", "string"), F.lit("")).alias("blob_id"),
+        F.when(lone, F.lit(""))
+        .otherwise(F.coalesce(F.try_variant_get(match, "$.BlobID", "string"), F.lit("")))
+        .alias("blob_id"),
         line_number(
             F.try_variant_get(match, "$.Location.Source.Start.Line", "string")
         ).alias("line_number"),
-        F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("rule")).alias(
-            "secret_type"
-        ),
+        F.when(lone, F.col("rule"))
+        .otherwise(F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("rule")))
+        .alias("secret_type"),
         "secret_value",
-        _seq(F.col("match_pos")).alias("seq"),
-    )
-
-
-def group_findings(landing: DataFrame) -> DataFrame:
-    """Findings without matches: the first group is the value, no location is known."""
-    lone = _records(landing).filter(F.coalesce(F.size("matches"), F.lit(0)) <= 0)
-    found = _decoded(lone, F.get("groups", F.lit(0)).try_cast("string"))
-    return (
-        found.withColumn("file_path", F.lit(""))
-        .withColumn("line_number", F.lit(None).cast("int"))
-        .withColumn("secret_type", F.col("rule"))
-        .withColumn("commit_hash", F.lit(""))
-        .withColumn("found_by", F.array(F.lit(TOOL)))
-        .withColumn("seq", _seq(F.lit(0)))
-        .withColumn("id", finding_id(*map(F.col, ("repository", "file_path", "secret_value"))))
-        .select(*FINDING_COLUMNS, "seq")
+        _seq(F.coalesce("match_pos", F.lit(0))).alias("seq"),
+        lone.alias("lone"),
     )
-
-
-def match_findings(landing: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
-    """Matches with their file from ``blob_paths`` (repository, blob_id, path); keeps blob_id."""
-    found = matches(landing)
     if blob_paths is None:
-        located = found.withColumn("path", F.lit(None).cast("string"))
+        found = found.withColumn("path", F.lit(None).cast("string"))
     else:
-        located = found.join(
-            blob_paths.select("repository", "blob_id", "path"), ["repository", "blob_id"], "left"
-        )
+        places = blob_paths.select("repository", "blob_id", "path").filter("blob_id <> ''")
+        found = found.join(places, ["repository", "blob_id"], "left")
     return (
-        located.withColumn("file_path", F.coalesce("path", F.lit("")))
+        found.withColumn("file_path", F.coalesce("path", F.lit("")))
         .withColumn("commit_hash", F.lit(""))
         .withColumn("found_by", F.array(F.lit(TOOL)))
         .withColumn("id", finding_id(*map(F.col, ("repository", "file_path", "secret_value"))))
-        .select(*FINDING_COLUMNS, "seq", "blob_id")
+        .select(*FINDING_COLUMNS, "seq", "blob_id", "lone")
     )
 
 
+def group_findings(landing: DataFrame) -> DataFrame:
+    """Findings without matches: the first group is the value, no location is known."""
+    return located_findings(landing).filter("lone").select(*FINDING_COLUMNS, "seq")
+
+
 def findings(landing: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
-    """All titus findings, commits still blank."""
-    return (
-        match_findings(landing, blob_paths).drop("blob_id").unionByName(group_findings(landing))
-    )
+    """All titus findings, commits still blank, with their blobs."""
+    return located_findings(landing, blob_paths).drop("lone")
 
 
 def rejects(landing: DataFrame) -> DataFrame:
@@ -133,21 +127,13 @@ def rejects(landing: DataFrame) -> DataFrame:
         "repository",
         "tool",
         F.col("value").alias("raw"),
-        F.when(F.try_parse_json("value").isNull(), "broken json")
-        .otherwise("not an array")
-        .alias("reason"),
-    )
-    bad_records = _records(landing).filter(~V.is_object(F.col("record"))).select(
-        "repository", F.col("record").alias("bad")
-    )
-    bad_matches = _exploded(landing).filter(~F.col("usable")).select(
-        "repository", F.col("match").alias("bad")
+        V.fault(F.col("value"), "array").alias("reason"),
     )
-    return bad_reports.unionByName(
-        bad_records.unionByName(bad_matches).select(
-            "repository",
-            F.lit(TOOL).alias("tool"),
-            F.to_json("bad").alias("raw"),
-            F.lit("unusable record").alias("reason"),
-        )
+    bad_record = F.col("match_pos").isNull() & ~V.is_object(F.col("record"))
+    bad = _exploded(landing).filter(~F.col("usable") | bad_record).select(
+        "repository",
+        F.lit(TOOL).alias("tool"),
+        F.to_json(F.when(bad_record, F.col("record")).otherwise(F.col("match"))).alias("raw"),
+        F.lit("unusable record").alias("reason"),
     )
+    return bad_reports.unionByName(bad)

@@ -48,3 +48,18 @@ def test_ranges_blobs_and_blanks(spark):
     assert {r.id: r.commit_hash for r in got} == want
     head_only = attribute(df, blame).filter("file_path = 'gone.py'").collect()
     assert {r.commit_hash for r in head_only} == {""}
+
+
+def test_open_ends_and_rows_that_need_nothing(spark):
+    blame = spark.createDataFrame(
+        [("r", "HEAD", "a.py", 5, 2147483647, "late"), ("r", "HEAD", "a.py", 1, 4, "early")],
+        "repository STRING, revision STRING, file_path STRING, line_start INT, line_end INT, "
+        "commit_hash STRING",
+    )
+    rows = [(str(n), "r", "a.py", n, "t", "v", "", ["titus"]) for n in (1, 4, 5, 300, 2147483647)]
+    rows += [("x", "r", None, 1, "t", "v", None, ["titus"]), ("y", "r", "", None, "t", "v", "c", ["titus"])]
+    df = spark.createDataFrame(rows, FINDING_DDL)
+    got = attribute(df, blame)
+    assert {r.id: r.commit_hash for r in got.collect()} == {
+        "1": "early", "4": "early", "5": "late", "300": "late", "2147483647": "late", "x": "", "y": "c"}
+    assert got.columns == df.columns

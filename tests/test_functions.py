@@ -19,10 +19,10 @@ VALUES = [
     "X\\n  MII\nABC",
     "C:\\new",
     "\u00a0a\u2003b\x1cc\x0bd\x85e\u3000",
-    "SECRET=Xk9mP",
-    "S3_CREDENTIALS_KEY=AKIA1",
-    "'mysecret'",
-    "$variable = 'testvalue';",
+    "mail.pass=>\"q7\"",
+    "(deep)Name_2=zz==",
+    "$, ;'inner; value' ,$",
+    "$a='b=c';",
     "'k' => 'v'",
     "PASSWORD=",
     "QUJDREVGRw==",

@@ -1,4 +1,4 @@
-"""Pass 3: the ordered fold and the rounds against a plain nested loop."""
+"""Pass 3: the ordered fold and the linked folds against a plain walk over all values."""
 
 import random
 
@@ -71,35 +71,64 @@ def test_random_locations(spark, fold_rows, groups):
         assert r["secret_type"] == by_id[r["id"]]["secret_type"]
 
 
-def test_crowded_line_with_hubs_takes_few_rounds(spark, monkeypatch):
-    """Padded texts share tiny cores that lie in most values of the line."""
-    from credsift.operators import rounds
+def _finding(n, value, path="min.js"):
+    return {
+        "id": f"i{n}",
+        "repository": "r",
+        "file_path": path,
+        "line_number": 1,
+        "secret_type": "t",
+        "secret_value": value,
+        "commit_hash": "c",
+        "found_by": ["abcd"[n % 4]],
+        "seq": n,
+    }
+
+
+def _absorbed(spark, rows, **settings):
+    df = cut(spark.createDataFrame(rows, FINDING_DDL + ", seq BIGINT"), "t")
+    got = absorb_overlapping(df, **settings).collect()
+    return {r["id"]: r["found_by"] for r in got}
+
 
+def test_crowded_line_with_hubs(spark):
+    """Padded texts share tiny cores that lie in most values of the line."""
     rows = []
     for n in range(150):
         token = f"{n:03d}TOKEN{n * 7919 % 1009:04d}X"
         for value in (token, f'"key" = "AK{token}";', f"KEY={token}_{n}", f"{token[:6]}=="):
-            rows.append(
-                {
-                    "id": f"i{len(rows)}",
-                    "repository": "r",
-                    "file_path": "min.js",
-                    "line_number": 1,
-                    "secret_type": "t",
-                    "secret_value": value,
-                    "commit_hash": "c",
-                    "found_by": ["abcd"[len(rows) % 4]],
-                    "seq": len(rows),
-                }
-            )
-    calls, next_round = [], rounds._next_round
-
-    def counted(*args):
-        calls.append(1)
-        return next_round(*args)
-
-    monkeypatch.setattr(rounds, "_next_round", counted)
-    df = cut(spark.createDataFrame(rows, FINDING_DDL + ", seq BIGINT"), "t")
-    got = absorb_overlapping(df).collect()
-    assert {r["id"]: r["found_by"] for r in got} == _expected(rows)
-    assert 1 <= len(calls) <= 6
+            rows.append(_finding(len(rows), value))
+    assert _absorbed(spark, rows) == _expected(rows)
+
+
+def test_a_long_chain_and_a_very_long_value(spark):
+    chain = [_finding(n, f"P{n + 1}=P{n}", "chain") for n in range(1000)]
+    words = [f"tok{n:05d}{n * 48271 % 65521:05d}" for n in range(20_000)]
+    long = [_finding(2000, "x" * 5_000_000, "one"), _finding(2001, " ".join(words), "two")]
+    inside = [_finding(3000 + n, f"{w}", "two") for n, w in enumerate(words[:300])]
+    apart = [_finding(5000 + n, f"{n * 2654435761 % 2**32:08x}{n:06d}", "many") for n in range(5000)]
+    got = _absorbed(spark, [*chain, *long, *inside, *apart])
+    want = _expected(chain)
+    want |= {"i2000": ["a"], "i2001": sorted({"abcd"[n % 4] for n in [2001, *range(3000, 3300)]})}
+    want |= {r["id"]: r["found_by"] for r in apart}
+    assert got == want
+
+
+def test_the_fold_by_itself():
+    from credsift.operators.overlaps import fold
+
+    rng = random.Random(11)
+    for _ in range(300):
+        rows = sorted(
+            (_finding(n, v) for n, v in enumerate(dict.fromkeys(_random_values(rng)))),
+            key=lambda r: -len(plain.norm(r["secret_value"])),
+        )
+        rows = list({plain.norm(r["secret_value"]): r for r in reversed(rows)}.values())[::-1]
+        cores = [plain.core(r["secret_value"]) for r in rows]
+        items = [
+            (len(plain.norm(r["secret_value"])), c,
+             {x for x in cores if x in plain.norm(r["secret_value"])}, r["found_by"])
+            for r, c in zip(rows, cores, strict=True)
+        ]
+        got = {rows[i]["id"]: sorted(t) for i, t in fold(items)}
+        assert got == {r["id"]: r["found_by"] for r in plain.absorb(rows)}

@@ -4,6 +4,7 @@ import base64
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from credsift.schema import FINDING_COLUMNS
 from credsift.sources import blobs, detect_secrets, landing, registry, titus
@@ -143,14 +144,14 @@ def test_titus(spark, drop):
                 "RuleName": "",
                 "Groups": [b64("unused")],
                 "Matches": [
-                    match("password=abc", Location={"Source": {"Start": {"Line": 5}}}),
+                    match("pin: 0417", Location={"Source": {"Start": {"Line": 5}}}),
                     match("  padded \n", RuleName="Named"),
                     match("   "),
                     {"Snippet": {"Matching": "not base64!"}},
                     {"Snippet": None},
                 ],
             },
-            {"RuleName": "AWS Key", "Groups": [b64("AKIATEST"), b64("x")], "Matches": []},
+            {"RuleName": "Door code", "Groups": [b64("grp-0"), b64("x")], "Matches": []},
             {"Groups": [b64("lone")], "Matches": None},
             {"Groups": [], "Matches": []},
             {"RuleID": "np.2"},
@@ -162,8 +163,8 @@ def test_titus(spark, drop):
     )
     got = titus.findings(raw, paths).orderBy("seq").collect()
     assert [r.secret_value for r in got] == [
-        "password=abc", "padded", "not base64!", "AKIATEST", "lone"]
-    assert [r.secret_type for r in got] == ["np.1", "Named", "np.1", "AWS Key", "Unknown"]
+        "pin: 0417", "padded", "not base64!", "grp-0", "lone"]
+    assert [r.secret_type for r in got] == ["np.1", "Named", "np.1", "Door code", "Unknown"]
     assert [r.file_path for r in got] == ["src/a.py", "src/a.py", "", "", ""]
     assert [r.line_number for r in got] == [5, None, None, None, None]
 
@@ -171,7 +172,7 @@ def test_titus(spark, drop):
 def test_missing_area_and_unknown_tool(spark, tmp_path):
     raw = landing.read_landing(spark, str(tmp_path / "nowhere"), ["gitleaks", "no-such-tool"])
     found = registry.read_findings(raw)
-    assert found.columns == [*FINDING_COLUMNS, "seq"]
+    assert found.columns == [*FINDING_COLUMNS, "seq", "blob_id"]
     assert found.count() == 0
 
 
@@ -218,3 +219,63 @@ def test_relative_blob_paths(spark):
     )
     got = blobs.relative_paths(paths, roots).collect()
     assert {r.repository: r.path for r in got} == {"r": "src/a.py", "s": "x.py"}
+
+
+def test_reports_above_the_size_of_one_variant(spark, drop):
+    """Every record of a report of 150 MB is read, whatever the tool."""
+    filler, count = "x" * 2000, 75_000
+    record = '{{"File": "f{0}", "Secret": "s{0}", "Note": "' + filler + '"}}'
+    drop("big", "gitleaks", "[" + ",".join(record.format(n) for n in range(count)) + "]")
+    hit = '{{"type": "t", "hashed_secret": "h{0}", "line_number": {0}, "note": "' + filler + '"}}'
+    lists = ",".join(
+        f'"f{k}": [' + ",".join(hit.format(n) for n in range(k, count, 3)) + "]" for k in range(3)
+    )
+    drop("big", "detect-secrets", '{"results": {' + lists + "}}")
+    found = registry.read_findings(landing.read_landing(spark, drop.root, ["gitleaks", "detect-secrets"]))
+    per_tool = found.groupBy(F.col("found_by")[0].alias("t")).agg(F.countDistinct("secret_value").alias("n"))
+    assert {r.t: r.n for r in per_tool.collect()} == {"gitleaks": count, "detect-secrets": count}
+    assert registry.read_rejects(landing.read_landing(spark, drop.root)).count() == 0
+
+
+def test_repositories_of_several_folders(spark, tmp_path):
+    for org in ("one", "two"):
+        folder = tmp_path / org / "repository=api"
+        folder.mkdir(parents=True)
+        (folder / "api_gitleaks_raw.json").write_text('[{"Secret": "k"}]')
+    near = landing.read_landing(spark, str(tmp_path), ["gitleaks"])
+    far = landing.read_landing(spark, str(tmp_path), ["gitleaks"], levels=2)
+    assert {r.repository for r in near.collect()} == {"api"}
+    assert {r.repository for r in far.collect()} == {"one/api", "two/api"}
+
+
+def test_a_registered_tool_is_landed_and_read(spark, tmp_path):
+    from credsift.functions.keys import finding_id
+    from credsift.schema import TOOLS, arrival
+
+    def reader(raw):
+        parts = F.split("value", "\t")
+        return raw.filter("tool = 'tabs'").select(
+            finding_id(F.col("repository"), parts[0], parts[1]).alias("id"),
+            "repository",
+            parts[0].alias("file_path"),
+            F.lit(None).cast("int").alias("line_number"),
+            F.lit("tab").alias("secret_type"),
+            parts[1].alias("secret_value"),
+            F.lit("").alias("commit_hash"),
+            F.array(F.lit("tabs")).alias("found_by"),
+            arrival("tabs", F.col("path"), F.col("block"), F.lit(""), F.col("pos"), F.lit(0)).alias("seq"),
+        )
+
+    registry.register("tabs", reader, raw_name="tabs_raw.txt", by_line=True)
+    try:
+        (tmp_path / "shop").mkdir()
+        (tmp_path / "shop" / "shop_tabs_raw.txt").write_text("a.py\tv1\nb.py\tv2\n")
+        got = registry.read_findings(landing.read_landing(spark, str(tmp_path))).collect()
+        assert {(r.repository, r.file_path, r.secret_value) for r in got} == {
+            ("shop", "a.py", "v1"), ("shop", "b.py", "v2")}
+        assert {r.seq.tool for r in got} == {TOOLS.index("tabs")}
+    finally:
+        registry._readers.pop("tabs")
+        TOOLS.remove("tabs")
+        landing.RAW_NAMES.pop("tabs")
+        landing.LINE_DELIMITED.discard("tabs")
