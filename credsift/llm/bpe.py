@@ -37,7 +37,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Characters that are cut at once, and pre-tokens kept per worker before the table is renewed.
 CHUNK = 1 << 18
-KEPT = 1 << 19
+KEPT = 1 << 20
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 _QUOTE, _BLANK = ord("'"), ord(" ")
