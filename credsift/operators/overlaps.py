@@ -111,23 +111,30 @@ def core_links(values: DataFrame) -> DataFrame:
         .join(cores, ["place", "key"])
         .select("id", "key", "core", "start")
     )
-    schema = "place string, key string, id string"
-
-    def compare(value: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if value.empty or some.empty:
-            return pd.DataFrame(columns=["place", "key", "id"])
-        norm, place, fid = value["norm"].iloc[0], value["place"].iloc[0], value["id"].iloc[0]
-        keys = {
-            key for key, core, start in zip(some["key"], some["core"], some["start"], strict=True)
-            if norm.startswith(core, start)
-        }
-        return pd.DataFrame({"place": place, "key": sorted(keys), "id": fid})
+    # a value's candidates as one row beside it; they are no longer than the text around them
+    beside = found.groupBy("id").agg(
+        F.collect_list("key").alias("keys_"),
+        F.collect_list("core").alias("cores"),
+        F.collect_list("start").alias("starts"),
+    )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (row.place, key, row.id)
+                for row in batch.itertuples()
+                for key in {
+                    key
+                    for key, core, start in zip(row.keys_, row.cores, row.starts, strict=True)
+                    if row.norm.startswith(core, start)
+                }
+            ]
+            yield pd.DataFrame(rows, columns=["place", "key", "id"])
 
     inside = (
         values.select("place", "id", "norm")
-        .groupBy("id")
-        .cogroup(found.groupBy("id"))
-        .applyInPandas(compare, schema)
+        .join(beside, "id")
+        .mapInPandas(compare, "place string, key string, id string")
     )
     # an empty core lies in every value of its location
     empty = (
