@@ -44,17 +44,12 @@ def strip_ansi(value: Column) -> Column:
     return F.regexp_replace(value, _ANSI_COLOUR, "")
 
 
-def overlaps(inner_norm: Column, inner_core: Column, outer_norm: Column) -> Column:
+def overlaps(inner_core: Column, outer_norm: Column) -> Column:
     """True when the inner value may be absorbed into the outer one.
 
-    A core is always a piece of its own normal form, so the core test alone decides; the two
-    cheaper tests only let most rows stop early.
+    A core is a piece of its own normal form, so equal and contained values overlap, too.
     """
-    return (
-        (inner_norm == outer_norm)
-        | F.contains(outer_norm, inner_norm)
-        | F.contains(outer_norm, inner_core)
-    )
+    return F.contains(outer_norm, inner_core)
 
 
 def relative_path(path: Column, absolute_root: Column, given_root: Column) -> Column:

@@ -12,9 +12,7 @@ whole estate alike.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from credsift.functions.text import normal_form
 from credsift.operators.merge import merge_by, with_norm
 from credsift.operators.proximity import absorb_overlapping
 from credsift.schema import FINDING_COLUMNS
@@ -37,11 +35,3 @@ def dedup_findings(findings: DataFrame, keep_seq: bool = False) -> DataFrame:
     merged = cut(merge_same_secret(merge_same_id(findings)), "merged")
     unique = absorb_overlapping(merged)
     return unique.select(*FINDING_COLUMNS, *(["seq"] if keep_seq else []))
-
-
-def secret_groups(findings: DataFrame) -> DataFrame:
-    """Findings per repository and normal form."""
-    return (
-        findings.groupBy("repository", normal_form(F.col("secret_value")).alias("norm"))
-        .agg(F.count("*").alias("findings"))
-    )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsift.functions.keys import LOCATION, has_location, location_hash
-from credsift.functions.text import core_form, normal_form
+from credsift.functions.text import core_form, normal_form, overlaps
 from credsift.operators.overlaps import absorb_linked
 from credsift.session import cut
 
@@ -94,7 +94,7 @@ def _survivors(items: Column) -> Column:
 def _place_item(survivors: Column, item: Column) -> Column:
     touching = F.exists(
         survivors,
-        lambda s: F.contains(s["norm"], item["core"]) | F.contains(item["norm"], s["core"]),
+        lambda s: overlaps(item["core"], s["norm"]) | overlaps(s["core"], item["norm"]),
     )
     return F.when(~touching, F.array_append(survivors, item)).otherwise(
         F.aggregate(
@@ -126,8 +126,8 @@ def _meet(state: Column, survivor: Column) -> Column:
     taken = step(kept, _united(current, survivor), F.lit(False))
     return (
         F.when(placed, passed)
-        .when(F.contains(survivor["norm"], current["core"]), joined)
-        .when(F.contains(current["norm"], survivor["core"]), taken)
+        .when(overlaps(current["core"], survivor["norm"]), joined)
+        .when(overlaps(survivor["core"], current["norm"]), taken)
         .otherwise(passed)
     )
 

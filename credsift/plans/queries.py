@@ -237,8 +237,8 @@ def overlap_predicate(spark, sf_dir):
     return pairs.select(
         "a",
         "b",
-        T.overlaps(a, T.core_form(a), b).alias("a_in_b"),
-        T.overlaps(b, T.core_form(b), a).alias("b_in_a"),
+        T.overlaps(T.core_form(a), b).alias("a_in_b"),
+        T.overlaps(T.core_form(b), a).alias("b_in_a"),
     )
 
 

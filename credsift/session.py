@@ -5,18 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Merging keeps one small record per key in an object aggregate; the default limit of 128 keys
-# would turn every such aggregate into a sort.
+# Merging keeps one record per key in an object aggregate; the default limit of 128 keys would turn
+# every such aggregate into a sort. The limit counts keys, and values may be whole lines.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
@@ -27,6 +28,28 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the jobs rely on to an existing session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give this package's code to the Python workers, wherever the driver found it.
+
+    Spark hands the archive to the executors itself; once per application.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="credsift-code-"), "credsift-code.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.relpath(file, os.path.dirname(package)))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
     return spark
 
 

@@ -84,3 +84,43 @@ def test_ingest_merges_batches_and_repeats(spark, tmp_path):
     got = ingest.current_findings(spark, state).collect()
     assert {(r.repository, r.secret_value) for r in got} == {
         ("r", "two"), ("r", "key=one"), ("q", "one two-three")}
+
+
+def test_stream_agrees_with_batch_and_survives_compaction(spark, tmp_path):
+    """Names that need decoding, a second checkpoint over one state, and merged states."""
+    from credsift.sources import landing, registry
+
+    drop, state = tmp_path / "drop", str(tmp_path / "state")
+    folder = drop / "my app+é"
+    folder.mkdir(parents=True)
+    (folder / "a_gitleaks_raw.json").write_text('[{"Secret": "one", "File": "f", "StartLine": 3}]')
+
+    def ingest_now(checkpoint):
+        ingest.stream_reports(
+            spark, "gitleaks", str(drop), state, str(tmp_path / checkpoint)
+        ).awaitTermination()
+
+    ingest_now("first")
+    for path in folder.iterdir():
+        path.unlink()
+    (folder / "b_gitleaks_raw.json").write_text('[{"Secret": "two", "File": "f", "StartLine": 4}]')
+    ingest_now("second")  # begins at batch 0 again
+    rows = lambda df: sorted(map(str, df.select(*FINDING_COLUMNS).collect()))
+    streamed = rows(ingest.current_by_id(spark, state))
+    assert len(streamed) == 2
+    batch = registry.read_findings(landing.read_landing(spark, str(drop), ["gitleaks"]))
+    assert set(rows(batch)) < set(streamed)
+    for _ in range(2):
+        ingest.compact(spark, state)
+        assert rows(ingest.current_by_id(spark, state)) == streamed
+
+
+def test_a_workspace_is_removed(spark):
+    import os
+
+    from credsift.session import cut, workspace
+
+    with workspace(spark) as path:
+        assert cut(findings(spark), "t").count() == 3
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
