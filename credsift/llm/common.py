@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credsift.session import cut
+from credsift.session import cut, ship
 
 # A word is a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +22,7 @@ BATCHES = {
 def prepared(spark: SparkSession) -> SparkSession:
     for key, value in BATCHES.items():
         spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
