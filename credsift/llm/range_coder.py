@@ -5,10 +5,11 @@ distribution:
 
 * order 2: the id that last followed the two ids before,
 * order 1: the id that last followed the id before,
-* order 0: all ids, by how often their neighbourhood of ``1 << FINE`` ids came so far.
+* order 0: all ids, by how often their neighbourhood of ``1 << FINE`` ids came so far among those
+  that the other two did not foresee.
 
-The shares of the first two are learnt per block for every pair of their confidences (how often
-in a row each was right); the rest goes to order 0. A range coder with 64-bit ranges and 16-bit
+The shares of the first two are learnt per block, apart for steps where both foresee the same id
+and steps where they do not; the rest goes to order 0. A range coder with 64-bit ranges and 16-bit
 digits codes each id in one step.
 
 The blocks of a call are coded side by side: one step codes the next id of every block, with
@@ -34,10 +35,10 @@ _ORDER0 = 16  # bits of the order-0 shares of all cells
 _CHOICE = 16  # bits of the shares of the predictions
 _TOTAL = _CHOICE + _ORDER0 + FINE
 _BITS1, _BITS2 = 10, 11
-_TOP = 7  # the highest confidence
-_RATE = 4
-_SHARES_EVERY = 4  # steps from one update of the predictions' shares to the next
+_RATE = 5
 _CELLS_EVERY = 256
+_MARKS = 11
+_COARSE = _ORDER0 - _MARKS
 _STEP = 24  # what one id adds to the count of its cell
 _LEAST = np.uint64(1 << 48)
 _U16, _U48, _UT = np.uint64(16), np.uint64(48), np.uint64(_TOTAL)
@@ -50,68 +51,70 @@ class BlockError(ValueError):
 class _Model:
     """The state of all blocks, and the shares of their predictions for the next id."""
 
-    def __init__(self, lanes: int, n_ids: int):
-        self.lanes = lanes
+    def __init__(self, lanes: int, n_ids: int, guided: bool = False):
+        self.lanes, self.guided = lanes, guided
         lane = np.arange(lanes, dtype=np.int64)
         self.cells = max(2, (n_ids >> FINE) + 1)
-        self.table1 = np.zeros(lanes << _BITS1, dtype=np.int32)  # id * 8 + confidence
+        self.table1 = np.zeros(lanes << _BITS1, dtype=np.int32)
         self.table2 = np.zeros(lanes << _BITS2, dtype=np.int32)
         self.slot1 = self.base1 = lane << _BITS1
         self.slot2 = self.base2 = lane << _BITS2
-        start = np.repeat(np.arange(_TOP + 1), _TOP + 1) * 4000 + 12000
-        self.share2 = np.tile(start.astype(np.int32), lanes)
-        self.share1 = np.full(lanes * (_TOP + 1) ** 2, 12000, dtype=np.int32)
-        self.base_state = lane * (_TOP + 1) ** 2
+        self.lane = lane
+        # the shares of order 2, where the predictions differ and where they agree; then order 1
+        self.share2 = np.repeat(np.array([16000, 40000], dtype=np.int32), lanes)
+        self.share1 = np.full(lanes, 12000, dtype=np.int32)
         self.counts = np.ones(lanes * self.cells, dtype=np.int32)
         self.base_count = lane * self.cells
         self.base_edge = lane * (self.cells + 1)
-        self.floor = (lane << _ORDER0).astype(np.int32)
         self.before = np.zeros(lanes, dtype=np.int32)
         self.time = 0
         self._cumulate()
 
     def _cumulate(self) -> None:
-        """The ends of the cells' order-0 shares per block, each block's above the last one's, so
-        that the whole array ascends."""
+        """The ends of the cells' order-0 shares per block."""
         sums = np.cumsum(self.counts.reshape(self.lanes, -1), axis=1, dtype=np.int32)
         sums = sums * (((1 << _ORDER0) - self.cells) / sums[:, -1:])
         edges = np.empty((self.lanes, self.cells + 1), dtype=np.int32)
-        edges[:, 0] = self.floor
+        edges[:, 0] = 0
         edges[:, 1:] = sums
         edges[:, 1:] += np.arange(1, self.cells + 1, dtype=np.int32)
         edges[:, -1] = 1 << _ORDER0
-        edges[:, 1:] += self.floor[:, None]
         self.edges = edges.ravel()
+        if not self.guided:  # only the decoder looks places up
+            return
+        # where to begin looking for a place: the cell of each multiple of 2^_COARSE
+        at = (edges[:, 1:-1] + ((1 << _COARSE) - 1) >> _COARSE) + (self.lane << _MARKS)[:, None]
+        inside = at < (self.lane + 1 << _MARKS)[:, None]
+        marks = np.bincount(at[inside], minlength=self.lanes << _MARKS)
+        marks = marks.reshape(self.lanes, -1)
+        self.guide = np.cumsum(marks, axis=1, dtype=np.int32).ravel()
 
     def predict(self) -> None:
-        self.entry2 = self.table2.take(self.slot2)
-        self.entry1 = self.table1.take(self.slot1)
-        self.guess2, self.guess1 = self.entry2 >> 3, self.entry1 >> 3
-        self.sure2, self.sure1 = self.entry2 & 7, self.entry1 & 7
-        self.state = self.base_state + ((self.sure2 << 3) + self.sure1)
-        self.p2, self.p1 = self.share2.take(self.state), self.share1.take(self.state)
+        self.guess2 = self.table2.take(self.slot2)
+        self.guess1 = self.table1.take(self.slot1)
+        self.agree = self.guess1 == self.guess2
+        self.state = self.lane + self.agree * self.lanes
+        self.p2 = self.share2.take(self.state)
         self.f2 = self.p2 - (self.p2 >> 8) + 32
-        self.f1 = ((65472 - self.f2 >> 1) * (self.p1 >> 1) >> 14) + 16
-        self.f1 *= self.guess1 != self.guess2
+        self.f1 = ((65472 - self.f2 >> 1) * (self.share1 >> 1) >> 14) + 16
+        self.f1 *= ~self.agree
         self.known = self.f2 + self.f1
 
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        fresh = ids << 3
-        self.table2[self.slot2] = np.where(hit2, self.entry2 + (self.sure2 < _TOP), fresh)
-        right1 = ids == self.guess1
-        self.table1[self.slot1] = np.where(right1, self.entry1 + (self.sure1 < _TOP), fresh)
-        self.time += 1
-        now = self.time
-        if now % _SHARES_EVERY == 0 or now < 128:
-            self.share2[self.state] = self.p2 + (hit2 * np.int32(65535) - self.p2 >> _RATE)
-            step1 = (hit1 * np.int32(65535) - self.p1 >> _RATE) * ~hit2
-            self.share1[self.state] = self.p1 + step1
-        cell = self.base_count + (ids >> FINE)
-        self.counts[cell] = self.counts.take(cell) + _STEP
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, some, cell) -> None:
+        """``some`` are the blocks whose id came under order 0, in ``cell``."""
+        self.table2[self.slot2] = ids
+        self.table1[self.slot1] = ids
+        self.share2[self.state] = self.p2 + (hit2 * np.int32(65535) - self.p2 >> _RATE)
+        self.share1 += (hit1 * np.int32(65535) - self.share1 >> _RATE) * ~hit2
+        if len(some):
+            at = self.base_count.take(some) + cell
+            self.counts[at] = self.counts.take(at) + _STEP
         spread = ids * np.int32(40503)
         self.slot1 = self.base1 + (spread >> 3 & (1 << _BITS1) - 1)
         self.slot2 = self.base2 + ((self.before * np.int32(31) + spread) >> 5 & (1 << _BITS2) - 1)
         self.before = spread
+        self.time += 1
+        now = self.time
         if now % _CELLS_EVERY == 0 or now < _CELLS_EVERY and now >= 32 and now & (now - 1) == 0:
             self._cumulate()
 
@@ -195,11 +198,12 @@ def encode(ids: np.ndarray, n_ids: int, block: int = BLOCK) -> list[bytes]:
         hit1 = (now == model.guess1) & ~hit2
         start, width = _choice(model, hit2, hit1)
         some = np.flatnonzero(~(hit2 | hit1))
+        own = now.take(some)
+        cell = own >> FINE
         if len(some):
-            own = now.take(some)
-            _fill(model, start, width, some, own >> FINE, own & (1 << FINE) - 1)
+            _fill(model, start, width, some, cell, own & (1 << FINE) - 1)
         coder.narrow(start, width)
-        model.learn(now, hit2, hit1)
+        model.learn(now, hit2, hit1, some, cell)
     out = []
     for payload, part, n in zip(coder.finish(), steps.T, lengths, strict=True):
         check = zlib.crc32(part[:n].astype("<u4").tobytes())
@@ -220,7 +224,7 @@ def _fill(model, start, width, some, cell, fine) -> None:
     low = model.edges.take(at)
     share = (model.edges.take(at + 1) - low).astype(np.int64)
     rest = 65536 - model.known.take(some)
-    inner = ((low - model.floor.take(some)).astype(np.int64) << FINE) + fine * share
+    inner = (low.astype(np.int64) << FINE) + fine * share
     start[some] += rest * inner
     width[some] = rest * share
 
@@ -252,7 +256,7 @@ def decode(blocks: list[bytes], n_ids: int) -> np.ndarray:
         code = code << _U16 | words.take(at + k)
     at += 4
     wide = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    model = _Model(lanes, n_ids)
+    model = _Model(lanes, n_ids, guided=True)
     out = np.zeros((int(lengths.max()), lanes), dtype=np.int32)
     highest, most = n_ids - 1, (1 << _TOTAL) - 1
 
@@ -268,32 +272,37 @@ def decode(blocks: list[bytes], n_ids: int) -> np.ndarray:
         start, width = _choice(model, hit2, hit1)
         ids = np.where(hit2, model.guess2, model.guess1)
         some = np.flatnonzero(miss)
+        cell = some
         if len(some):
-            known = model.known.take(some).astype(np.int64)
-            inner = (target.take(some) - (known << _ORDER0 + FINE)) // (65536 - known)
-            floor = model.floor.take(some)
-            place = (inner >> FINE).astype(np.int32) + floor
+            rest = 65536 - model.known.take(some)
+            inner = target.take(some) - ((65536 - rest).astype(np.int64) << _ORDER0 + FINE)
+            inner = (inner / rest).astype(np.int64)  # exact: below 2^53
             base = model.base_edge.take(some)
-            cell = np.searchsorted(model.edges, place, side="right") - 1 - base
-            np.minimum(cell, model.cells - 1, out=cell)
-            edge = model.edges.take(base + cell)
-            share = model.edges.take(base + cell + 1) - edge
-            fine = (inner - ((edge - floor).astype(np.int64) << FINE)) // share
-            np.minimum(fine, (1 << FINE) - 1, out=fine)
+            place = (inner >> FINE).astype(np.int32)
+            cell = model.guide.take((some << _MARKS) + (place >> _COARSE)).astype(np.int64)
+            far = np.flatnonzero(model.edges.take(base + cell + 1) <= place)
+            while len(far):  # the next cells, until one reaches beyond the place
+                cell[far] += 1
+                here = base.take(far) + cell.take(far) + 1
+                far = far[model.edges.take(here) <= place.take(far)]
+            low = model.edges.take(base + cell)
+            share = model.edges.take(base + cell + 1) - low
+            fine = ((inner - (low.astype(np.int64) << FINE)) / share).astype(np.int64)
             _fill(model, start, width, some, cell, fine)
             ids[some] = np.minimum((cell << FINE) + fine, highest)
         code -= unit * start.view(np.uint64)
         wide = unit * width.view(np.uint64)
-        some = np.flatnonzero(wide < _LEAST)
-        while len(some):
-            place = at.take(some)
-            code[some] = code.take(some) << _U16 | words.take(np.minimum(place, last.take(some)))
-            at[some] = place + 1
-            short = wide.take(some) << _U16
-            wide[some] = short
-            some = some[short < _LEAST]
+        dry = np.flatnonzero(wide < _LEAST)
+        while len(dry):
+            at_digit = at.take(dry)
+            digit = words.take(np.minimum(at_digit, last.take(dry)))
+            code[dry] = code.take(dry) << _U16 | digit
+            at[dry] = at_digit + 1
+            short = wide.take(dry) << _U16
+            wide[dry] = short
+            dry = dry[short < _LEAST]
         out[t] = ids
-        model.learn(ids, hit2, hit1)
+        model.learn(ids, hit2, hit1, some, cell)
     parts = []
     for i, (n, _, check) in enumerate(heads):
         own = out[:n, i]

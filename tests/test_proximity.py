@@ -59,7 +59,7 @@ def _expected(rows):
     return {r["id"]: r["found_by"] for r in out}
 
 
-@pytest.mark.parametrize("fold_rows,groups", [(256, 3000), (0, 800), (4, 300)])
+@pytest.mark.parametrize("fold_rows,groups", [(256, 3000), (0, 400), (4, 200)])
 def test_random_locations(spark, fold_rows, groups):
     rows = _rows(7 + fold_rows, groups)
     df = cut(spark.createDataFrame(rows, FINDING_DDL + ", seq BIGINT"), "t").repartition(5)
