@@ -320,11 +320,13 @@ def identify(
         ),
         *([F.struct(F.lit(-1.0).alias("p"), F.lit(-n).alias("k"))]),
     )
-    return posterior.select("key", best.alias("best")).select(
+    verdicts = posterior.select("key", best.alias("best")).select(
         "key",
         F.get(F.array(*(F.lit(x) for x in names)), -F.col("best.k")).alias("language"),
         F.col("best.p").alias("confidence"),
     )
+    # written, as a later filter pushed below these projections would copy them many times over
+    return cut(verdicts, "language-verdicts")
 
 
 # --- tables ----------------------------------------------------------------------------------
