@@ -34,10 +34,10 @@ FINE = 8
 _ORDER0 = 16  # bits of the order-0 shares of all cells
 _CHOICE = 16  # bits of the shares of the predictions
 _TOTAL = _CHOICE + _ORDER0 + FINE
-_BITS1, _BITS2 = 10, 11
+_BITS1, _BITS2 = 9, 10
 _RATE = 5
 _CELLS_EVERY = 256
-_MARKS = 11
+_MARKS = 10
 _COARSE = _ORDER0 - _MARKS
 _STEP = 24  # what one id adds to the count of its cell
 _LEAST = np.uint64(1 << 48)
@@ -55,8 +55,10 @@ class _Model:
         self.lanes, self.guided = lanes, guided
         lane = np.arange(lanes, dtype=np.int64)
         self.cells = max(2, (n_ids >> FINE) + 1)
-        self.table1 = np.zeros(lanes << _BITS1, dtype=np.int32)
-        self.table2 = np.zeros(lanes << _BITS2, dtype=np.int32)
+        # small types: what all blocks look up at random should stay near the processor
+        kind = np.uint16 if n_ids <= 1 << 16 else np.int32
+        self.table1 = np.zeros(lanes << _BITS1, dtype=kind)
+        self.table2 = np.zeros(lanes << _BITS2, dtype=kind)
         self.slot1 = self.base1 = lane << _BITS1
         self.slot2 = self.base2 = lane << _BITS2
         self.lane = lane
@@ -87,7 +89,8 @@ class _Model:
         inside = at < (self.lane + 1 << _MARKS)[:, None]
         marks = np.bincount(at[inside], minlength=self.lanes << _MARKS)
         marks = marks.reshape(self.lanes, -1)
-        self.guide = np.cumsum(marks, axis=1, dtype=np.int32).ravel()
+        kind = np.uint8 if self.cells <= 1 << 8 else np.int32
+        self.guide = np.cumsum(marks, axis=1, dtype=kind).ravel()
 
     def predict(self) -> None:
         self.guess2 = self.table2.take(self.slot2)
@@ -270,7 +273,7 @@ def decode(blocks: list[bytes], n_ids: int) -> np.ndarray:
         miss = choice >= model.known
         hit1 = ~(hit2 | miss)
         start, width = _choice(model, hit2, hit1)
-        ids = np.where(hit2, model.guess2, model.guess1)
+        ids = np.where(hit2, model.guess2, model.guess1).astype(np.int32)
         some = np.flatnonzero(miss)
         cell = some
         if len(some):
