@@ -35,9 +35,10 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# Characters that are cut at once, and pre-tokens kept per worker before the table is renewed.
+# Characters that are cut at once, and pre-tokens kept per worker before the table is renewed. A
+# stage that has one Python worker per task may keep more than one that has two.
 CHUNK = 1 << 18
-KEPT = 1 << 20
+KEPT = 1 << 18
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 _QUOTE, _BLANK = ord("'"), ord(" ")
@@ -331,11 +332,11 @@ class Encoder:
 _workers: dict = {}
 
 
-def worker_encoder(content: bytes) -> Encoder:
-    """One encoder per Python worker and vocabulary, reused over tasks."""
-    key = ("encoder", hash(content))
+def worker_encoder(content: bytes, kept: int = KEPT) -> Encoder:
+    """One encoder per Python worker, vocabulary and size, reused over tasks."""
+    key = ("encoder", hash(content), kept)
     if key not in _workers:
-        _workers[key] = Encoder(worker_vocabulary(content))
+        _workers[key] = Encoder(worker_vocabulary(content), kept)
     return _workers[key]
 
 
