@@ -247,7 +247,7 @@ def decode(blocks: list[bytes], n_ids: int) -> np.ndarray:
     lanes = len(blocks)
     lengths = np.array([h[0] for h in heads])
     longest = max(h[1] for h in heads)
-    words = np.zeros((lanes, longest + 4), dtype=np.uint64)
+    words = np.zeros((lanes, longest + 4), dtype=np.uint16)
     for i, data in enumerate(blocks):
         words[i, : heads[i][1]] = np.frombuffer(data, dtype=">u2", offset=_HEADER.size)
     row = words.shape[1]
@@ -256,7 +256,7 @@ def decode(blocks: list[bytes], n_ids: int) -> np.ndarray:
     last = at + row - 1
     code = np.zeros(lanes, dtype=np.uint64)
     for k in range(4):
-        code = code << _U16 | words.take(at + k)
+        code = code << _U16 | words.take(at + k).astype(np.uint64)
     at += 4
     wide = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     model = _Model(lanes, n_ids, guided=True)
@@ -299,7 +299,7 @@ def decode(blocks: list[bytes], n_ids: int) -> np.ndarray:
         while len(dry):
             at_digit = at.take(dry)
             digit = words.take(np.minimum(at_digit, last.take(dry)))
-            code[dry] = code.take(dry) << _U16 | digit
+            code[dry] = code.take(dry) << _U16 | digit.astype(np.uint64)
             at[dry] = at_digit + 1
             short = wide.take(dry) << _U16
             wide[dry] = short

@@ -32,7 +32,12 @@ from credsift.session import cut, fresh_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 # Ids of a shard, unless one document has more.
-SHARD_IDS = 1536 * range_coder.BLOCK
+SHARD_IDS = 3072 * range_coder.BLOCK
+# Blocks are shorter where a shard would have fewer than this: they are coded side by side.
+BLOCKS = 1024
+LEAST_BLOCK = 256
+# Pre-tokens that a worker keeps.
+KEPT = 1 << 20
 # Bytes of ids that are handed on at once.
 HANDED = 4 << 20
 
@@ -64,7 +69,8 @@ class _Shards:
         self.size += len(ids)
 
     def row(self) -> pa.RecordBatch:
-        blocks = range_coder.encode(np.concatenate(self.ids), self.n_ids)
+        block = min(max(-(-self.size // BLOCKS), LEAST_BLOCK), range_coder.BLOCK)
+        blocks = range_coder.encode(np.concatenate(self.ids), self.n_ids, block)
         batch = pa.RecordBatch.from_arrays(
             [
                 pa.array([self.file], pa.int32()),
@@ -89,7 +95,7 @@ def write(
     content = bpe.read_vocabulary(spark, vocabulary)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.worker_encoder(content.value)
+        encoder = bpe.worker_encoder(content.value, KEPT)
         out = _Shards(encoder.vocabulary.size)
         end = np.array([end_id], dtype=np.int32)
         for batch in batches:
