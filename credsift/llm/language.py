@@ -13,8 +13,9 @@ All counts are grouped sums of the text posteriors of all records with enough te
 map-side, so a host with most rows costs no more than others. One class, ``und``, stands for text
 in none of the languages: under it all trigrams are equally likely.
 
-The trigram model is the only part fitted on a sample: about ``SAMPLE`` texts at most of known
-language, chosen by a hash of their id; 2^16 counts a language, whatever the corpus.
+The trigram model is the only part fitted on a sample: of each known language about ``SAMPLE``
+texts at most, chosen by a hash of their id and text, and one at least, however rare the language
+is among the others. Every language with a letter in its sample is learnt; 2^16 counts each.
 
 Defined results: missing evidence of a kind has no say; NULL and empty texts are judged by the
 rest alone, and rejected when that leaves them undetermined; repeated rows are judged alike; a
@@ -25,9 +26,8 @@ languages everything is ``und``. Other columns pass through ``kept_documents``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,10 @@ from credsift.session import cut
 
 UNDETERMINED = "und"
 BUCKET_BITS = 16
+# Texts of a language that teach its trigrams.
 SAMPLE = 8_000
-# Languages of the model at most, the ones with most sampled texts.
-LANGUAGES = 64
+# Languages that a task counts side by side before it hands their counts on.
+COUNTED = 64
 TEMPER = 1 / 3
 # Trigrams below which a text adds nothing to the counts of its host, markup and suffix.
 ENOUGH = 30
@@ -115,46 +116,67 @@ class TextModel:
 
 def train(texts: DataFrame, size: int = SAMPLE) -> TextModel:
     """The text model from rows of (id, text, language)."""
-    known = texts.filter("text IS NOT NULL AND language IS NOT NULL")
-    rows = max(known.count(), 1)
-    sample = known.filter(hash_unit("language-sample", F.col("id")) < size / rows)
+    # repeated ids and texts are in or out together, so ids alone would not do
+    place = hash_unit("language-sample", F.concat_ws(":", "id", F.xxhash64("text")))
+    known = texts.filter("text IS NOT NULL AND language IS NOT NULL").select(
+        "text", "language", place.alias("_place")
+    )
+    # one row per language
+    shares = cut(
+        known.groupBy(F.col("language").alias("_language")).agg(
+            F.greatest(F.lit(float(size)) / F.count("*"), F.min("_place")).alias("_share")
+        ),
+        "language-shares",
+    )
+    sample = known.join(
+        shares, (F.col("language") == F.col("_language")) & (F.col("_place") <= F.col("_share"))
+    )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+
+        def handed() -> Iterator[pd.DataFrame]:
+            for language, own in sums.items():
+                at = np.flatnonzero(own)
+                yield pd.DataFrame({"language": language, "bucket": at, "n": own[at]})
+            sums.clear()
+
         for batch in batches:
             for language, some in batch.groupby("language"):
-                own = sums.setdefault(language, np.zeros((1 << BUCKET_BITS) + 1, dtype=np.int64))
-                own[-1] += len(some)
+                own = sums.setdefault(language, np.zeros(1 << BUCKET_BITS, dtype=np.int64))
                 for _, part in _chunks(some["text"].tolist(), False):
-                    own[:-1] += np.bincount(trigrams(part)[1], minlength=1 << BUCKET_BITS)
-        for language, own in sums.items():
-            at = np.flatnonzero(own)
-            yield pd.DataFrame({"language": language, "bucket": at, "n": own[at]})
+                    own += np.bincount(trigrams(part)[1], minlength=1 << BUCKET_BITS)
+                if len(sums) >= COUNTED:
+                    yield from handed()
+        yield from handed()
 
     # at most one row per language and bucket
-    counts = cut(
+    got = (
         sample.select("text", "language")
         .mapInPandas(count, "language string, bucket int, n long")
         .groupBy("language", "bucket")
-        .agg(F.sum("n").alias("n")),
-        "language-counts",
+        .agg(F.sum("n").alias("n"))
+        .toPandas()
     )
-    top = counts.filter(F.col("bucket") == 1 << BUCKET_BITS).orderBy(F.desc("n"), "language")
-    languages = sorted(r.language for r in top.limit(LANGUAGES).collect())
-    got = counts.filter(F.col("language").isin(languages)).toPandas()
-    got = got[got["bucket"] < 1 << BUCKET_BITS]
-    table = np.full((len(languages) + 1, 1 << BUCKET_BITS), 0.05)
-    row = got["language"].map({name: i for i, name in enumerate(languages)}).to_numpy(int)
-    table[row, got["bucket"].to_numpy()] += got["n"].to_numpy()
-    logs = np.log(table / table.sum(axis=1, keepdims=True))
-    return TextModel(languages, logs.astype(np.float32))
+    row, languages = pd.factorize(got["language"], sort=True)
+    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(row, kind="stable")
+    ends = np.searchsorted(row[order], np.arange(len(languages) + 2))
+    logs = np.empty((len(languages) + 1, 1 << BUCKET_BITS), dtype=np.float32)
+    for k in range(len(logs)):  # no rows for the last one, ``und``
+        own = np.full(1 << BUCKET_BITS, 0.05)
+        some = order[ends[k] : ends[k + 1]]
+        own[bucket[some]] += n[some]
+        logs[k] = np.log(own / own.sum())
+    return TextModel([str(x) for x in languages], logs)
 
 
 def likelihoods(df: DataFrame, text: Column, model: TextModel, markup: bool) -> Column:
-    """(grams, logs): trigrams of a text and its tempered log likelihood per class."""
+    """(logs, own): a text's tempered log likelihood per class, and what it adds to the counts of
+    its host, markup and suffix: its posterior, or nothing where it has too few trigrams."""
     sent = df.sparkSession.sparkContext.broadcast(model.logs)
 
-    @F.arrow_udf("grams long, logs array<double>")
+    @F.arrow_udf("logs array<double>, own array<double>")
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         logs = sent.value
         for batch in batches:
@@ -168,10 +190,11 @@ def likelihoods(df: DataFrame, text: Column, model: TextModel, markup: bool) ->
                 for k, row in enumerate(logs):
                     sums[part, k] = np.bincount(number, row[bucket], minlength=len(some))
             sums *= TEMPER
-            offsets = np.arange(0, sums.size + 1, len(logs), dtype=np.int32)
+            own = _softmax(sums) * (grams >= ENOUGH)[:, None]
+            offsets = pa.array(np.arange(0, sums.size + 1, len(logs), dtype=np.int32))
             yield pa.StructArray.from_arrays(
-                [pa.array(grams), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))],
-                ["grams", "logs"],
+                [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (sums, own)],
+                ["logs", "own"],
             )
 
     return weigh(text)
@@ -202,21 +225,62 @@ def suffix_of(url: Column) -> Column:
     return F.concat(F.substring_index(host_of(url), ".", -1), F.lit("/"), part)
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    powers = [F.exp(x - top) for x in logs]
-    total = reduce(lambda a, b: a + b, powers)
-    return [p / total for p in powers]
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
 
 
-def _sums(df: DataFrame, keys: list[str], classes: int, prefix: str) -> DataFrame:
-    """Per key, the sums of the text posteriors of the records with enough text."""
-    weight = (F.col("_grams") >= ENOUGH).cast("double")
-    return (
-        df.filter(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.lit(True)))
-        .groupBy(*keys)
-        .agg(*(F.sum(F.col(f"_t{k}") * weight).alias(f"{prefix}{k}") for k in range(classes)))
-    )
+def _sums(classes: int) -> Column:
+    """The sums of the text posteriors of the records with enough text, as one array."""
+    return F.array(*(F.sum(F.get("own", F.lit(k))) for k in range(classes)))
+
+
+def _rows(found: pa.Array, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows are not NULL, one row of numbers each, zeros for NULL) of a list array."""
+    there = np.asarray(found.is_valid())
+    rows = np.zeros((len(found), classes))
+    rows[there] = found.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
+    return there[:, None], rows
+
+
+def _verdict(names: list[str], counted: np.ndarray) -> Callable[..., Column]:
+    """(language, confidence) from logs, own, and the sums of domain, host, suffix, declared."""
+    n = len(names)
+    classes = pa.array(names, pa.string())
+    top = counted / counted.sum()
+
+    @F.arrow_udf("language string, confidence double")
+    def fused(
+        logs: pa.Array,
+        own: pa.Array,
+        domain: pa.Array,
+        host: pa.Array,
+        suffix: pa.Array,
+        declared: pa.Array,
+    ) -> pa.Array:
+        _, own = _rows(own, n)
+
+        def smoothed(found: pa.Array, parent: np.ndarray, strength: float) -> np.ndarray:
+            there, sums = _rows(found, n)
+            others = np.where(there, np.maximum(sums - own, 0.0), 0.0)
+            return (others + strength * parent) / (others.sum(axis=1, keepdims=True) + strength)
+
+        # how likely a class is to show this declaration or suffix, against all its others
+        def said(found: pa.Array) -> np.ndarray:
+            there, sums = _rows(found, n)
+            share = sums.sum(axis=1, keepdims=True) / counted.sum()
+            shown = (sums + CATEGORY_STRENGTH * share) / (counted + CATEGORY_STRENGTH)
+            return np.log(shown, where=there & (shown > 0), out=np.zeros_like(shown))
+
+        prior = smoothed(host, smoothed(domain, top, DOMAIN_STRENGTH), HOST_STRENGTH)
+        posterior = _softmax(np.log(prior) + _rows(logs, n)[1] + said(suffix) + said(declared))
+        best = posterior.argmax(axis=1)
+        return pa.StructArray.from_arrays(
+            [classes.take(pa.array(best)), pa.array(posterior[np.arange(len(best)), best])],
+            ["language", "confidence"],
+        )
+
+    return fused
 
 
 def identify(
@@ -227,105 +291,23 @@ def identify(
     ``language`` is the class of the highest posterior, ``confidence`` that posterior.
     """
     names = model.classes
-    classes = range(len(names))
+    kinds = ["domain", "host", "suffix", "declared"]
     weighed = records.select(
-        "key",
-        "host",
-        "domain",
-        "suffix",
-        "declared",
-        likelihoods(records, F.col("text"), model, markup).alias("_e"),
+        "key", *kinds, likelihoods(records, F.col("text"), model, markup).alias("_e")
     )
     evidence = cut(
-        weighed.select(
-            "key",
-            "host",
-            "domain",
-            "suffix",
-            "declared",
-            F.col("_e.grams").alias("_grams"),
-            *(F.col("_e.logs")[k].alias(f"_l{k}") for k in classes),
-        ),
-        "language-evidence",
+        weighed.select("key", *kinds, F.col("_e.logs"), F.col("_e.own")), "language-evidence"
     )
-    text = _softmax([F.col(f"_l{k}") for k in classes])
-    evidence = evidence.select("*", *(p.alias(f"_t{k}") for k, p in enumerate(text)))
-
-    n = len(names)
-    whole = evidence.groupBy().agg(
-        *(F.sum(F.col(f"_t{k}") * (F.col("_grams") >= ENOUGH).cast("double")) for k in classes)
-    ).head()
-    counted = [float(x or 0.0) + 1.0 for x in whole]
-    top = [x / sum(counted) for x in counted]
-
-    def total(prefix: str) -> Column:
-        return reduce(lambda a, b: a + b, (F.col(f"{prefix}{k}") for k in classes))
-
-    # how likely a class is to show this declaration or suffix, against all its others
-    def category(name: str, prefix: str) -> DataFrame:
-        sums = _sums(evidence, [name], n, prefix)
-        return sums.select(
-            name,
-            *(
-                F.log(
-                    (F.col(f"{prefix}{k}") + CATEGORY_STRENGTH * total(prefix) / sum(counted))
-                    / (counted[k] + CATEGORY_STRENGTH)
-                ).alias(f"{prefix}{k}")
-                for k in classes
-            ),
-        )
-
-    domains = _sums(evidence, ["domain"], n, "_d")
-    hosts = _sums(evidence, ["host"], n, "_h")
-    tables = [
-        (["domain"], cut(domains, "language-domains")),
-        (["host"], cut(hosts, "language-hosts")),
-        (["suffix"], cut(category("suffix", "_s"), "language-suffixes")),
-        (["declared"], cut(category("declared", "_m"), "language-declared")),
-    ]
+    whole = evidence.agg(_sums(len(names))).head()[0]
+    counted = np.array([float(x or 0.0) + 1.0 for x in whole])
     joined = evidence
-    for keys, found in tables:
-        joined = joined.join(found, keys, "left")
-
-    own = (F.col("_grams") >= ENOUGH).cast("double")
-
-    def less_own(prefix: str, k: int) -> Column:
-        return F.greatest(F.coalesce(F.col(f"{prefix}{k}"), own * F.col(f"_t{k}"))
-                          - own * F.col(f"_t{k}"), F.lit(0.0))
-
-    def smoothed(prefix: str, parent: list[Column], strength: float) -> list[Column]:
-        seen = reduce(lambda a, b: a + b, (less_own(prefix, k) for k in classes))
-        return [(less_own(prefix, k) + strength * parent[k]) / (seen + strength) for k in classes]
-
-    staged = joined.select(
-        "*",
-        *(
-            p.alias(f"_pd{k}")
-            for k, p in enumerate(smoothed("_d", [F.lit(x) for x in top], DOMAIN_STRENGTH))
-        ),
-    )
-    priors = smoothed("_h", [F.col(f"_pd{k}") for k in classes], HOST_STRENGTH)
-
-    def said(prefix: str, k: int) -> Column:
-        return F.coalesce(F.col(f"{prefix}{k}"), F.lit(0.0))
-
-    fused = [
-        F.log(priors[k]) + F.col(f"_l{k}") + said("_s", k) + said("_m", k) for k in classes
-    ]
-    posterior = staged.select("key", *(x.alias(f"_f{k}") for k, x in enumerate(fused)))
-    best = F.greatest(
-        *(
-            F.struct(p.alias("p"), F.lit(-k).alias("k"))
-            for k, p in enumerate(_softmax([F.col(f"_f{k}") for k in classes]))
-        ),
-        *([F.struct(F.lit(-1.0).alias("p"), F.lit(-n).alias("k"))]),
-    )
-    verdicts = posterior.select("key", best.alias("best")).select(
-        "key",
-        F.get(F.array(*(F.lit(x) for x in names)), -F.col("best.k")).alias("language"),
-        F.col("best.p").alias("confidence"),
-    )
-    # written, as a later filter pushed below these projections would copy them many times over
+    for kind in kinds:
+        sums = evidence.filter(F.col(kind).isNotNull()).groupBy(kind)
+        sums = sums.agg(_sums(len(names)).alias(f"_{kind}"))
+        joined = joined.join(cut(sums, f"language-{kind}"), kind, "left")
+    fused = _verdict(names, counted)("logs", "own", *(f"_{kind}" for kind in kinds))
+    verdicts = joined.select("key", fused.alias("_v")).select("key", "_v.language", "_v.confidence")
+    # written, as a later filter pushed below these projections would judge the rows twice
     return cut(verdicts, "language-verdicts")
 
 

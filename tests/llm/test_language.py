@@ -87,3 +87,56 @@ def test_addresses(spark):
         "url", host, language.domain_of(host), language.suffix_of(F.col("url"))
     ).collect()
     assert [tuple(r) for r in got] == urls
+
+
+def invented(name, words):
+    """A text of made-up words that share few trigrams with those of other names."""
+    seed = np.random.default_rng(sum(ord(c) * 31**i for i, c in enumerate(name)))
+    letters = seed.choice(list("abcdefghijklmnopqrstuvwxyz"), size=(12, 5))
+    known = ["".join(w) for w in letters]
+    return " ".join(known[i % 12] for i in range(words))
+
+
+def test_a_language_of_one_in_100_000_rows_is_learnt(spark):
+    common = F.when(F.col("doc_id") % 2 == 0, invented("aa", 40)).otherwise(invented("bb", 40))
+    docs = spark.range(199_998).select(
+        F.col("id").alias("doc_id")
+    ).select(
+        "doc_id",
+        F.concat(common, F.lit(" "), (F.col("doc_id") % 97).cast("string")).alias("text"),
+        F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb").alias("lang"),
+        F.lit("s").alias("source"),
+    )
+    rare = [(i, invented("zz", 60 + i), "zz", "s") for i in (300_001, 300_002)]
+    docs = docs.union(spark.createDataFrame(rare, docs.schema))
+    model = language.train(language.known_texts(docs))
+    assert model.languages == ["aa", "bb", "zz"]
+    found = language.identify(
+        language.document_records(docs.filter("doc_id % 1000 = 0 OR lang = 'zz'"), F.struct("doc_id")),
+        model,
+    ).join(docs.select("doc_id", "lang"), F.col("key.doc_id") == F.col("doc_id"))
+    assert [r for r in found.collect() if r.language != r.lang] == []
+    few = docs.filter("doc_id < 500 OR lang = 'zz'")
+    kept = [r.doc_id for r in language.kept_documents(few, model).collect()]
+    assert {300_001, 300_002} <= set(kept) and len(kept) == 502
+
+
+def test_every_language_is_learnt_however_many(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    rows = [
+        (100 * i + j, f"{invented(name, 50)} {j}", name, "s")
+        for i, name in enumerate(names)
+        for j in range(1 + i % 3)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language.train(language.known_texts(docs)).languages == names
+    got = language.document_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == len(rows) and all(r.language == r.lang and r.kept for r in got)
+
+
+def test_sample_of_rows_without_an_id_and_without_letters(spark):
+    rows = [(None, f"{invented('aa', 20)} {i}", "aa") for i in range(400)]
+    rows += [(None, f"{invented('bb', 20)} {i}", "bb") for i in range(3)] + [(7, "12 34", "cc")] * 9
+    texts = spark.createDataFrame(rows, "id long, text string, language string")
+    assert language.train(texts, size=1).languages == ["aa", "bb"]
+    assert language.train(texts.limit(0)).classes == [language.UNDETERMINED]
