@@ -5,15 +5,17 @@ of four and five bytes, pairs of neighbouring words (n-grams), and pairs with on
 them (skip-grams). Words are lower-cased runs between ASCII blanks and punctuation.
 
 Training takes at most about ``SAMPLE`` labelled rows, at most half of them toxic and at most two
-clean ones for a toxic one, chosen by a hash of the doc_id. They are dealt to ``SHARDS`` tasks, each of which runs
-FTRL-proximal (per-coordinate rates, L1 sparsity) for ``EPOCHS`` passes; the mean of the shards'
-weights is the model. L1 leaves few weights, and there are never more than buckets, so the
+clean ones for a toxic one, chosen by a hash of the doc_id. A doc_id teaches one text, the least
+of its texts, however many rows it has. The features of these texts are dealt to ``SHARDS`` tasks,
+each of which runs FTRL-proximal (per-coordinate rates, L1 sparsity) for ``EPOCHS`` passes; the
+mean of the shards' weights is the model. L1 leaves few weights, and there are never more than buckets, so the
 model's broadcast size is bounded by design (8 bytes a bucket).
 
 Defined results: NULL and empty texts score the bias alone; rows without a doc_id are scored, are
 not held out and teach nothing; a doc_id labelled twice counts as toxic if one label says so; NULL
-labels teach nothing; without any labels every score is 0.5 or less; an empty table gives no
-rows. Other columns pass through ``scored``.
+labels teach nothing; where nothing has been learnt (no labels, none left after the hold-out, or no
+weight that outlasts L1) every score is 0.5, no document counts as toxic, and ``drop_toxic`` keeps
+them all; an empty table gives no rows. Other columns pass through ``scored``.
 """
 
 from __future__ import annotations
@@ -127,24 +129,45 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def shard_weights(texts: list[str], labels: list[int]) -> np.ndarray:
-    """The weights that one shard learns, the bias last."""
-    dim = 1 << DIMENSION_BITS
-    model, rows = Ftrl(dim), []
-    for first, some in chunks(texts):
+def unique_features(texts: list[str | None]) -> list[np.ndarray]:
+    """The buckets of each text, each once; never more than ``1 << DIMENSION_BITS``."""
+    rows = []
+    for _, some in chunks(texts):
         number, bucket = features(some)
         keys = np.unique(number << DIMENSION_BITS | bucket)
-        parts = np.searchsorted(keys, np.arange(len(some) + 1) << DIMENSION_BITS)
-        rows += [
-            ((keys[a:b] & (dim - 1)).astype(np.int32), labels[first + i])
-            for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True))
-        ]
+        parts = np.searchsorted(keys, np.arange(1, len(some)) << DIMENSION_BITS)
+        rows += np.split((keys & (1 << DIMENSION_BITS) - 1).astype(np.int32), parts)
+    return rows
+
+
+def learnt_weights(rows: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """The weights that one shard learns from the features of its texts, the bias last."""
+    dim = 1 << DIMENSION_BITS
+    model = Ftrl(dim)
     for _ in range(EPOCHS):
-        for buckets, label in rows:
+        for buckets, label in zip(rows, labels, strict=True):
             model.learn(buckets, label)
     return model.weights(np.arange(dim + 1))
 
 
+def shard_weights(texts: list[str], labels: list[int]) -> np.ndarray:
+    """The weights that one shard learns, the bias last."""
+    return learnt_weights(unique_features(texts), labels)
+
+
+def hashed(text: Column) -> Column:
+    """The features of a text column, as an array of buckets."""
+
+    @F.arrow_udf("array<int>")
+    def buckets(texts: pa.Array) -> pa.Array:
+        rows = unique_features(texts.to_pylist())
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        joined = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(joined))
+
+    return buckets(text)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
@@ -172,12 +195,19 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.nd
     """(bucket, weight) of all weights that are not zero; the bias has bucket 2^DIMENSION_BITS."""
     sample = cut(sample_labels(labels, size), "toxic-sample")
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))
-    # the sample is bounded by its parameter, so it may be sent to all tasks
-    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # the sample is bounded by its parameter, so it may be sent to all tasks; a minimum combines
+    # map-side, so a doc_id with most rows gives one text per task
+    taught = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
+        .select("doc_id", "label", hashed(F.col("text")).alias("buckets"))
+    )
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "text"], kind="stable", na_position="first")
-        w = shard_weights(rows["text"].tolist(), rows["label"].tolist())
+        rows = rows.sort_values(["order", "doc_id"], kind="stable")
+        w = learnt_weights(rows["buckets"].tolist(), rows["label"].tolist())
         at = np.flatnonzero(w)
         return pd.DataFrame({"bucket": at, "weight": w[at] * len(rows), "n": float(len(rows))})
 
@@ -237,15 +267,21 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The documents that score below ``limit``."""
+    """The documents that score below ``limit``; all of them where nothing has been learnt."""
+    model = train(docs, labels)
+    if not len(model[0]):
+        return docs
     name = free_name(docs, "_score")
-    return scored(docs, labels, name).filter(F.col(name) < limit).select(*docs.columns)
+    marked = docs.withColumn(name, score(docs, model, F.col("text")))
+    return marked.filter(F.col(name) < limit).select(*docs.columns)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return scored(docs.select("doc_id", "text"), labels).select(
+    model = train(docs, labels)
+    toxic = F.col("score") >= 0.5 if len(model[0]) else F.lit(False)
+    return docs.select("doc_id", score(docs, model, F.col("text")).alias("score")).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        toxic.cast("int").alias("predicted"),
     )

@@ -58,3 +58,25 @@ def test_weights_are_few():
     texts = [f"common words {i} and more" for i in range(60)] + ["vile common words"] * 60
     w = toxicity.shard_weights(texts, [0] * 60 + [1] * 60)
     assert 0 < np.count_nonzero(w) < 40
+
+
+def test_documents_stay_where_nothing_is_learnt(spark):
+    docs = spark.createDataFrame([(i, f"words {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)], "doc_id long, toxic int")
+    for some in (labels.limit(0), labels, labels.filter(toxicity.held_out(labels.doc_id))):
+        assert toxicity.drop_toxic(docs, some).count() == 40
+        got = toxicity.toxicity_digest(docs, some).collect()
+        assert len(got) == 40 and {(r.score, r.predicted) for r in got} == {(0.5, 0)}
+
+
+def test_a_doc_id_with_a_third_of_all_rows_teaches_one_text(spark):
+    rows = [(i, t) for i, t in enumerate([None, "so so", "vile awful words", "fine words here"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 2)) for i in range(160)], "doc_id long, toxic int")
+    labels = labels.filter("NOT crc32(string(doc_id)) % 5 = 0")
+    hot = labels.filter("toxic = 1").orderBy("doc_id").head().doc_id
+    more = [(hot, f"vile awful words {i}") for i in range(80)]
+    more = docs.union(spark.createDataFrame(more, docs.schema)).repartition(4)
+    once, often = toxicity.train(docs, labels), toxicity.train(more, labels)
+    assert len(once[0]) and once[0].tolist() == often[0].tolist()
+    assert np.array_equal(once[1], often[1])
