@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from credsift.llm import (
     bpe,
+    centroids,
     chat,
     language,
     mixing,
@@ -72,6 +73,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(documents, table(spark, sf_dir, "labels"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
         op8_exact_topk,
         op9_toxicity,
         op10_quality,
+        op13_centroid_clusters,
     )
 }
 
@@ -145,4 +151,49 @@ ranked AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": _MIXING, "op8_exact_topk": _TOPK}
+
+
+def _clustering(rounds: int = 10) -> str:
+    """One step of the WITH list per round; squared distances as sums over unnested components."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id,
+         list_transform(embedding, lambda x: floor(1024e0 * x::DOUBLE)::BIGINT) AS ints
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS cluster, ints
+  FROM kept QUALIFY cluster < 8)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT place, vec_id, k.ints, cluster,
+         list_sum(list_transform(list_zip(k.ints, c.ints),
+                                 lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+  FROM kept k CROSS JOIN c{r} c
+  QUALIFY row_number() OVER (PARTITION BY place ORDER BY distance, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT cluster, d, floor(sum(x)::DOUBLE / count(*))::BIGINT AS mean
+  FROM (SELECT cluster, unnest(ints) AS x, generate_subscripts(ints, 1) AS d FROM a{r})
+  GROUP BY cluster, d),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.ints, c.ints) AS ints
+  FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY d) AS ints FROM m{r} GROUP BY cluster) m USING (cluster))""")
+    listed = ",\n".join(steps)
+    return f"""WITH {listed}
+SELECT vec_id, a.cluster, distance,
+       sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.ints, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_source_mixing": _MIXING,
+    "op8_exact_topk": _TOPK,
+    "op13_centroid_clusters": _clustering(),
+}
