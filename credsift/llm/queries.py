@@ -10,7 +10,9 @@ from credsift.llm import (
     bpe,
     centroids,
     chat,
+    html_content,
     language,
+    lexical,
     mixing,
     quality,
     quality_rules,
@@ -73,6 +75,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(documents, table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lexical.ranked_documents(documents, table(spark, sf_dir, "benchmark"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.pages_digest(table(spark, sf_dir, "pages"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters_digest(table(spark, sf_dir, "embeddings"))
 
@@ -91,6 +102,8 @@ QUERIES: dict[str, Query] = {
         op8_exact_topk,
         op9_toxicity,
         op10_quality,
+        op11_lexical_search,
+        op12_html_text,
         op13_centroid_clusters,
     )
 }
@@ -153,6 +166,60 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 
 
+_LEXICAL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT d, doc_id, len(words)::BIGINT AS n FROM docs WHERE len(words) > 0),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes),
+tfs AS (
+  SELECT d, word, count(*)::BIGINT AS tf FROM (SELECT d, unnest(words) AS word FROM docs)
+  GROUP BY d, word),
+weights AS (
+  SELECT word, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM tfs, corpus GROUP BY word, docs),
+items AS (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id),
+asked AS (
+  SELECT item_id, word, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word
+    FROM items)
+  GROUP BY item_id, word),
+scored AS (
+  SELECT item_id, d, doc_id,
+         sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))
+           ::BIGINT AS score
+  FROM asked JOIN tfs USING (word) JOIN weights USING (word) JOIN sizes USING (d), corpus
+  GROUP BY item_id, d, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+# What the pages of the tables need of the rules: one article, inline <b>, three references.
+_HTML = r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inside FROM pages),
+texts AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(inside, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')
+           AS raw
+  FROM inner_html),
+decoded AS (
+  SELECT page_id, url,
+         trim(regexp_replace(regexp_replace(regexp_replace(raw, '&quot;?', '"', 'g'),
+                                            '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+  FROM texts)
+SELECT page_id, url, coalesce(text, '') AS text, coalesce(length(text), 0)::BIGINT AS n_chars
+FROM decoded
+"""
+
+
 def _clustering(rounds: int = 10) -> str:
     """One step of the WITH list per round; squared distances as sums over unnested components."""
     steps = [
@@ -195,5 +262,7 @@ FROM a{rounds} a JOIN c{rounds} c USING (cluster)
 ORACLES: dict[str, str] = {
     "op1_source_mixing": _MIXING,
     "op8_exact_topk": _TOPK,
+    "op11_lexical_search": _LEXICAL,
+    "op12_html_text": _HTML,
     "op13_centroid_clusters": _clustering(),
 }
