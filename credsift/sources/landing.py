@@ -5,14 +5,17 @@ A drop area holds one folder per repository with reports named
 
     repository, tool, path, block, pos, value
 
-Whole-document tools have one row per report; line-delimited reports one row per line, with
-``block`` and ``pos`` in line order.
+Line-delimited reports have one row per line, with ``block`` and ``pos`` in line order. Whole-document
+tools have one row per report (``pos`` 0) up to ``WHOLE_BYTES``. A larger report is read by as many
+tasks as other large files are: it has one row per chunk of about ``CHUNK_BYTES`` that ends behind a
+``}`` (``pos`` from 1 on), and a last row without text whose ``block`` is the length of the file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,9 @@ RAW_NAMES = {
 }
 LINE_DELIMITED = {"trufflehog"}
 
+WHOLE_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+
 
 def add_tool(tool: str, raw_name: str, by_line: bool) -> None:
     """Make the raw reports of a further tool known; it arrives after the others."""
@@ -71,14 +77,79 @@ def _read_tool(spark: SparkSession, root: str, tool: str, levels: int) -> DataFr
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", "true")
     )
-    by_line = tool in LINE_DELIMITED
     try:
-        files = reader.text(root) if by_line else reader.text(root, wholetext=True)
+        if tool in LINE_DELIMITED:
+            return landing_rows(reader.text(root), tool, levels)
+        # files that the filters leave out are not opened
+        large = F.col("_metadata.file_size") > WHOLE_BYTES
+        whole = reader.text(root, wholetext=True).filter(~large)
+        chunks = _chunks(reader.text(root, lineSep="}").filter(large), tool, levels)
+        return landing_rows(whole, tool, levels).unionByName(chunks)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LANDING_DDL)
-    return landing_rows(files, tool, levels)
+
+
+def _chunks(pieces: DataFrame, tool: str, levels: int) -> DataFrame:
+    """Rows of about ``CHUNK_BYTES`` from the texts between the ``}`` of large reports.
+
+    A split is read by one task from start to end, so its pieces are joined as they come.
+    """
+    size = CHUNK_BYTES
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "block", "pos", "octets"]
+
+        def row(path: str, block: int, pos: int, value: bytes) -> pa.RecordBatch:
+            columns = [pa.array([path]), pa.array([block], pa.int64()),
+                       pa.array([pos], pa.int64()), pa.array([value], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        split: tuple | None = None  # path, start, behind the end, length of the file
+        held: list[bytes] = []
+        held_size = pos = 0
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if split is not None:
+                path, start, end, length = split
+                if held:
+                    yield row(path, start, pos + 1, b"}".join(held) + b"}")
+                if end >= length:
+                    yield row(path, length, 1, b"")
+
+        for batch in batches:
+            places = zip(
+                *(batch.column(c).to_pylist() for c in ("path", "start", "end", "length")), strict=True
+            )
+            for own, value in zip(places, batch.column("octets").to_pylist(), strict=True):
+                if own != split:
+                    yield from rest()
+                    split, held, held_size, pos = own, [], 0, 0
+                held.append(value)
+                held_size += len(value) + 1
+                if held_size >= size:
+                    pos += 1
+                    yield row(own[0], own[1], pos, b"}".join(held) + b"}")
+                    held, held_size = [], 0
+        yield from rest()
+
+    start, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
+    joined = pieces.select(
+        _decoded(F.col("_metadata.file_path")).alias("path"),
+        start.alias("start"),
+        (start + length).alias("end"),
+        F.col("_metadata.file_size").alias("length"),
+        F.col("value").cast("binary").alias("octets"),
+    ).mapInArrow(join, "path STRING, block BIGINT, pos BIGINT, octets BINARY")
+    return joined.select(
+        repository_of(F.col("path"), levels).alias("repository"),
+        F.lit(tool).alias("tool"),
+        "path",
+        "block",
+        "pos",
+        F.col("octets").cast("string").alias("value"),
+    )
 
 
 def landing_rows(files: DataFrame, tool: str, levels: int = 1) -> DataFrame:

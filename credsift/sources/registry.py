@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from types import ModuleType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsift.schema import FINDING_COLUMNS
+from credsift.session import cut
 from credsift.sources import detect_secrets, gitleaks, landing, titus, trufflehog
 
 Reader = Callable[..., DataFrame]
 
 _readers: dict[str, Reader] = {}
 _rejects: dict[str, Reader] = {}
+# tools whose reports are parsed into parts first, from which both findings and rejects come
+_parsed: dict[str, ModuleType] = {}
 
 
 def register(
@@ -29,6 +33,7 @@ def register(
     ``raw_name`` is what the names of its raw reports end in; with it, the drop area, the stream
     and the arrival order know the tool, too. ``by_line``: reports have one record per line.
     """
+    _parsed.pop(tool, None)
     _readers[tool] = reader
     if rejects is not None:
         _rejects[tool] = rejects
@@ -39,13 +44,13 @@ def register(
 def unregister(tool: str) -> None:
     _readers.pop(tool, None)
     _rejects.pop(tool, None)
+    _parsed.pop(tool, None)
     landing.drop_tool(tool)
 
 
-register(gitleaks.TOOL, gitleaks.findings, gitleaks.rejects)
-register(trufflehog.TOOL, trufflehog.findings, trufflehog.rejects)
-register(detect_secrets.TOOL, detect_secrets.findings, detect_secrets.rejects)
-register(titus.TOOL, titus.findings, titus.rejects)
+for _tool in (gitleaks, trufflehog, detect_secrets, titus):
+    register(_tool.TOOL, _tool.findings, _tool.rejects)
+    _parsed[_tool.TOOL] = _tool
 
 
 def known_tools() -> list[str]:
@@ -60,11 +65,48 @@ def read_findings(reports: DataFrame, tools: Iterable[str] | None = None, **look
     ``lookups`` maps a tool name with ``_`` for ``-`` to keyword arguments of its reader, for
     example ``titus={"blob_paths": paths}``.
     """
+    return _union(
+        [(t, _readers[t](reports, **_lookups(t, lookups))) for t in _chosen(tools)], reports
+    )
+
+
+def read_reports(
+    reports: DataFrame, tools: Iterable[str] | None = None, **lookups
+) -> tuple[DataFrame, DataFrame]:
+    """Findings and rejects of one reading: the parsed parts of every tool are written once.
+
+    Rejects have (repository, tool, raw, reason, path, at).
+    """
+    found, bad = [], []
+    for tool in _chosen(tools):
+        own = _lookups(tool, lookups)
+        if tool in _parsed:
+            parts = cut(_parsed[tool].parts(reports), f"parts-{tool}")
+            found.append((tool, _parsed[tool].findings_of(parts, **own)))
+            bad.append(_parsed[tool].rejects_of(parts))
+        else:
+            found.append((tool, _readers[tool](reports, **own)))
+            if tool in _rejects:
+                bad.append(_rejects[tool](reports))
+    return _union(found, reports), _all_rejects(bad, reports)
+
+
+def read_rejects(reports: DataFrame) -> DataFrame:
+    """Reports and records that could not be used, with the reason."""
+    return _all_rejects([reader(reports) for reader in _rejects.values()], reports)
+
+
+def _chosen(tools: Iterable[str] | None) -> list[str]:
+    return [t for t in (known_tools() if tools is None else tools) if t in _readers]
+
+
+def _lookups(tool: str, lookups: dict) -> dict:
+    return lookups.get(tool.replace("-", "_"), {})
+
+
+def _union(found: list[tuple[str, DataFrame]], reports: DataFrame) -> DataFrame:
     union: DataFrame | None = None
-    for tool in known_tools() if tools is None else tools:
-        if tool not in _readers:
-            continue
-        part = _readers[tool](reports, **lookups.get(tool.replace("-", "_"), {}))
+    for tool, part in found:
         missing = [c for c in [*FINDING_COLUMNS, "seq"] if c not in part.columns]
         if missing:
             raise ValueError(f"reader of {tool} lacks {missing}")
@@ -72,15 +114,11 @@ def read_findings(reports: DataFrame, tools: Iterable[str] | None = None, **look
             part = part.withColumn("blob_id", F.lit(""))
         part = part.select(*FINDING_COLUMNS, "seq", "blob_id")
         union = part if union is None else union.unionByName(part)
-    if union is None:
-        union = read_findings(reports, [gitleaks.TOOL]).filter(F.lit(False))
-    return union
+    return read_findings(reports, [gitleaks.TOOL]).filter(F.lit(False)) if union is None else union
 
 
-def read_rejects(reports: DataFrame) -> DataFrame:
-    """Reports and records that could not be used, with the reason."""
-    union: DataFrame | None = None
-    for reader in _rejects.values():
-        part = reader(reports)
-        union = part if union is None else union.unionByName(part)
+def _all_rejects(parts: list[DataFrame], reports: DataFrame) -> DataFrame:
+    union = gitleaks.rejects(reports).filter(F.lit(False))
+    for part in parts:
+        union = union.unionByName(part, allowMissingColumns=True)
     return union

@@ -6,6 +6,9 @@ commit to the attribution operators.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +16,63 @@ from credsift.functions.codec import base64_text
 from credsift.functions.keys import finding_id
 from credsift.functions.text import strip_space
 from credsift.schema import FINDING_COLUMNS, arrival, line_number
+from credsift.sources import json_parts as J
 from credsift.sources import variants as V
 
 TOOL = "titus"
 
+# What a record says of its matches, and what stands in where it has none.
+_NAMES = ("RuleName", "RuleID")
+_LONE = (*_NAMES, "Groups")
+
+
+def _places(skeleton: J.Skeleton, report) -> Iterator[J.Place]:
+    if not isinstance(report, list):
+        raise J.BrokenReport("not an array")
+    for at, run, record in J.members(skeleton, report):
+        if run:
+            yield J.Place(None, at, run=run)
+        else:
+            yield from _record(skeleton, record, at)
+
+
+def _record(skeleton: J.Skeleton, record, pos: int) -> Iterator[J.Place]:
+    """The matches of a record with its names; one without matches or of another type is alone
+    (no ``rule``)."""
+    matches = record.get("Matches") if isinstance(record, dict) else None
+    if not isinstance(record, dict):
+        yield J.Place(None, pos, value=json.dumps(record))
+    elif not isinstance(matches, list) or not matches:
+        yield J.Place(None, pos, value=json.dumps({k: record[k] for k in _LONE if k in record}))
+    else:
+        rule = json.dumps({k: record[k] for k in _NAMES if k in record})
+        for sub, run, match in J.members(skeleton, matches):
+            yield J.Place(None, pos, sub, rule, run, None if run else json.dumps(match))
 
-def _records(landing: DataFrame) -> DataFrame:
-    record = F.col("record")
-    rule = F.coalesce(
-        F.nullif(V.text(record, "RuleName"), F.lit("")), V.text(record, "RuleID", "Unknown")
-    )
-    records = landing.filter(F.col("tool") == TOOL).select(
-        "repository",
-        "path",
-        "block",
-        F.posexplode(V.json_array(F.col("value"))).alias("record_pos", "record"),
+
+def parts(landing: DataFrame) -> DataFrame:
+    """The matches of all titus reports, records without any, and reports that cannot be used."""
+    return J.parts(landing.filter(F.col("tool") == TOOL), J.Shape(4, _places, 2, _record))
+
+
+def _matches(parts: DataFrame) -> DataFrame:
+    """One row per match, and one (``lone``) per record without any, with the rule's name.
+
+    ``usable`` tells whether every level of the match that is present is an object.
+    """
+    value, around = F.col("value"), F.col("around")
+    rows = V.once(
+        parts.filter("kind = 'part'").withColumn("lone", F.col("rule").isNull()),
+        value=F.try_parse_json("text"),
+        around=F.try_parse_json(F.coalesce("rule", "text")),
     )
-    return V.once(
-        records, rule=rule, matches=V.items(record, "Matches"), groups=V.items(record, "Groups")
+    usable = V.is_object(value)
+    for path in ("$.Snippet", "$.Location", "$.Location.Source", "$.Location.Source.Start"):
+        usable = usable & (F.col("lone") | V.absent_or_object(value, path))
+    name = F.coalesce(
+        F.nullif(V.text(around, "RuleName"), F.lit("")), V.text(around, "RuleID", "Unknown")
     )
+    return V.once(rows, name=name, usable=F.coalesce(usable, F.lit(False)))
 
 
 def _decoded(df: DataFrame, encoded: Column) -> DataFrame:
@@ -41,45 +82,16 @@ def _decoded(df: DataFrame, encoded: Column) -> DataFrame:
     return df.drop("encoded").filter(F.col("secret_value") != "")
 
 
-def _seq(sub: Column) -> Column:
-    return arrival(TOOL, F.col("path"), F.col("block"), F.lit(""), F.col("record_pos"), sub)
-
-
-def _exploded(landing: DataFrame) -> DataFrame:
-    """One row per match, and one (``match_pos`` NULL) per record without any.
-
-    ``usable`` tells whether every level of the match that is present is an object.
-    """
-    match = F.col("match")
-    usable = V.is_object(match)
-    for path in ("$.Snippet", "$.Location", "$.Location.Source", "$.Location.Source.Start"):
-        usable = usable & V.absent_or_object(match, path)
-    return (
-        _records(landing)
-        .select(
-            "repository",
-            "path",
-            "block",
-            "record_pos",
-            "record",
-            "rule",
-            "groups",
-            F.posexplode_outer("matches").alias("match_pos", "match"),
-        )
-        .withColumn("usable", F.col("match_pos").isNull() | usable)
-    )
-
-
-def located_findings(landing: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
+def located_findings(parts: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
     """All titus findings, commits still blank, with the blob of each match (``blob_id``).
 
     A match takes its file from ``blob_paths`` (repository, blob_id, path). A record without
     matches has its first group as the value and no location.
     """
-    match, lone = F.col("match"), F.col("match_pos").isNull()
+    match, lone = F.col("value"), F.col("lone")
     found = _decoded(
-        _exploded(landing).filter("usable"),
-        F.when(lone, F.get("groups", F.lit(0)).try_cast("string")).otherwise(
+        _matches(parts).filter("usable"),
+        F.when(lone, F.get(V.items(match, "Groups"), F.lit(0)).try_cast("string")).otherwise(
             F.try_variant_get(match, "$.Snippet.Matching", "string")
         ),
     ).select(
@@ -90,12 +102,14 @@ def located_findings(landing: DataFrame, blob_paths: DataFrame | None = None) ->
         line_number(
             F.try_variant_get(match, "$.Location.Source.Start.Line", "string")
         ).alias("line_number"),
-        F.when(lone, F.col("rule"))
-        .otherwise(F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("rule")))
+        F.when(lone, F.col("name"))
+        .otherwise(F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("name")))
         .alias("secret_type"),
         "secret_value",
-        _seq(F.coalesce("match_pos", F.lit(0))).alias("seq"),
-        lone.alias("lone"),
+        arrival(
+            TOOL, F.col("path"), F.lit(0), F.lit(""), F.col("pos"), F.coalesce("sub", F.lit(0))
+        ).alias("seq"),
+        "lone",
     )
     if blob_paths is None:
         found = found.withColumn("path", F.lit(None).cast("string"))
@@ -113,27 +127,21 @@ def located_findings(landing: DataFrame, blob_paths: DataFrame | None = None) ->
 
 def group_findings(landing: DataFrame) -> DataFrame:
     """Findings without matches: the first group is the value, no location is known."""
-    return located_findings(landing).filter("lone").select(*FINDING_COLUMNS, "seq")
+    return located_findings(parts(landing)).filter("lone").select(*FINDING_COLUMNS, "seq")
+
+
+def findings_of(parts: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
+    return located_findings(parts, blob_paths).drop("lone")
+
+
+def rejects_of(parts: DataFrame) -> DataFrame:
+    return J.rejected(TOOL, parts, _matches(parts).filter(~F.col("usable")), F.col("value"))
 
 
 def findings(landing: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
     """All titus findings, commits still blank, with their blobs."""
-    return located_findings(landing, blob_paths).drop("lone")
+    return findings_of(parts(landing), blob_paths)
 
 
 def rejects(landing: DataFrame) -> DataFrame:
-    reports = landing.filter(F.col("tool") == TOOL)
-    bad_reports = reports.filter(V.json_array(F.col("value")).isNull()).select(
-        "repository",
-        "tool",
-        F.col("value").alias("raw"),
-        V.fault(F.col("value"), "array").alias("reason"),
-    )
-    bad_record = F.col("match_pos").isNull() & ~V.is_object(F.col("record"))
-    bad = _exploded(landing).filter(~F.col("usable") | bad_record).select(
-        "repository",
-        F.lit(TOOL).alias("tool"),
-        F.to_json(F.when(bad_record, F.col("record")).otherwise(F.col("match"))).alias("raw"),
-        F.lit("unusable record").alias("reason"),
-    )
-    return bad_reports.unionByName(bad)
+    return rejects_of(parts(landing))

@@ -16,35 +16,6 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*fields))))
 
 
-# The dialect of the variant parser, so that both ways of parsing accept the same texts.
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-
-
-def json_array(text: Column) -> Column:
-    """The parsed array as array<variant>, NULL for broken text or any other JSON value.
-
-    Every element is a variant of its own. One variant cannot hold a report above 128 MiB.
-    """
-    return F.from_json(text, "array<variant>", _STRICT)
-
-
-def json_members(text: Column, name: str) -> Column:
-    """A member of the text's object that is an object itself, as map<string,variant>.
-
-    Every member is a variant of its own; NULL when the member is absent or no object.
-    """
-    whole = F.from_json(text, f"struct<`{name}`: map<string,variant>>", _STRICT)
-    # duplicate keys: the last one counts, by the session's map key policy
-    return F.map_from_entries(F.map_entries(whole[name]))
-
-
-def fault(text: Column, wanted: str) -> Column:
-    """Why a text that is not ``wanted`` (array or object) cannot be used."""
-    other = F.json_object_keys(text) if wanted == "array" else F.json_array_length(text)
-    broken = F.try_parse_json(text).isNull() & other.isNull()
-    return F.when(broken, "broken json").otherwise(f"not an {wanted}")
-
-
 def is_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 

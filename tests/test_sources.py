@@ -222,19 +222,30 @@ def test_relative_blob_paths(spark):
 
 
 def test_reports_above_the_size_of_one_variant(spark, drop):
-    """Every record of a report of 150 MB is read, whatever the tool."""
+    """Every hit of a report of 150 MB is read, whatever the tool and however it groups its hits."""
     filler, count = "x" * 2000, 75_000
     record = '{{"File": "f{0}", "Secret": "s{0}", "Note": "' + filler + '"}}'
     drop("big", "gitleaks", "[" + ",".join(record.format(n) for n in range(count)) + "]")
     hit = '{{"type": "t", "hashed_secret": "h{0}", "line_number": {0}, "note": "' + filler + '"}}'
-    lists = ",".join(
-        f'"f{k}": [' + ",".join(hit.format(n) for n in range(k, count, 3)) + "]" for k in range(3)
+    drop("big", "detect-secrets", '{"version": "1", "results": {"small": [' + hit.format(count)
+         + '], "all": [' + ",".join(hit.format(n) for n in range(count)) + "]}}\n")
+    match = '{{"BlobID": "b", "Snippet": {{"Matching": "{0}"}}, "Note": "' + filler + '"}}'
+    drop("big", "titus", '[{"RuleID": "r1", "Matches": ['
+         + ",".join(match.format(b64(f"t{n}")) for n in range(count))
+         + '], "RuleName": "late"}, {"RuleName": "n", "Matches": [' + match.format(b64("last")) + "]}]")
+    raw = landing.read_landing(spark, drop.root)
+    found, bad = registry.read_reports(raw)
+    per_tool = found.groupBy(F.col("found_by")[0].alias("t")).agg(
+        F.countDistinct("secret_value").alias("n"), F.countDistinct("seq").alias("places")
     )
-    drop("big", "detect-secrets", '{"results": {' + lists + "}}")
-    found = registry.read_findings(landing.read_landing(spark, drop.root, ["gitleaks", "detect-secrets"]))
-    per_tool = found.groupBy(F.col("found_by")[0].alias("t")).agg(F.countDistinct("secret_value").alias("n"))
-    assert {r.t: r.n for r in per_tool.collect()} == {"gitleaks": count, "detect-secrets": count}
-    assert registry.read_rejects(landing.read_landing(spark, drop.root)).count() == 0
+    want = {"gitleaks": count, "detect-secrets": count + 1, "titus": count + 1}
+    assert {r.t: r.n for r in per_tool.collect()} == want
+    assert {r.t: r.places for r in per_tool.collect()} == want
+    names = found.filter("found_by[0] = 'titus'").groupBy("secret_type").count().collect()
+    assert {r.secret_type: r["count"] for r in names} == {"late": count, "n": 1}
+    assert bad.count() == 0
+    # several tasks read one report
+    assert raw.filter("tool = 'titus' AND pos > 0").select("block").distinct().count() > 2
 
 
 def test_repositories_of_several_folders(spark, tmp_path):
