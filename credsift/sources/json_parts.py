@@ -45,7 +45,8 @@ PARTS_DDL = (
 # Bytes of a value that are looked at together; a value is cut behind the next ``}``.
 WINDOW = 4 << 20
 
-_TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+("?)|[{}\[\]]', re.S)
+# the next bracket, past whole strings, or the quote of a string that does not end
+_TOKEN = re.compile(rb'(?:[^"{}\[\]]++|"(?:[^"\\]++|\\.)*+")*+([{}\[\]"]|\Z)', re.S)
 _STRING_END = re.compile(rb'(?:[^"\\]++|\\.)*+("?)', re.S)
 
 
@@ -70,18 +71,18 @@ def walk(data: bytes, state: State, level: int = 0) -> tuple[list[tuple[int, int
     if state.inside:
         match = _STRING_END.match(data)
         at, inside = match.end(), not match[1]
-    for match in _TOKEN.finditer(data, at):
-        begin = match.start()
-        byte = data[begin]
-        if byte == 0x22:
-            inside = not match[1]
-        elif byte == 0x7B or byte == 0x5B:
+    for match in _TOKEN.finditer(data, at) if not inside else ():
+        byte = match[1]
+        if byte == b"{" or byte == b"[":
             depth += 1
             if depth == level:
-                start = begin if byte == 0x7B else None
-        else:
+                start = match.end() - 1 if byte == b"{" else None
+        elif byte == b'"':
+            inside = True
+            break
+        elif byte:
             if depth == level and start is not None:
-                found.append((start, begin + 1))
+                found.append((start, match.end()))
                 start = None
             depth -= 1
     return found, State(inside, depth)
@@ -114,7 +115,7 @@ class Skeleton:
             self.size += len(piece)
 
     def run(self, chunk: int, first: int, last: int, at: int) -> None:
-        self.put(json.dumps({self.mark: [chunk, first, last]}).encode(), at)
+        self.put(b'{"%s":[%d,%d,%d]}' % (self.mark.encode(), chunk, first, last), at)
 
     def value(self):
         try:

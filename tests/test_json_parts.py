@@ -223,3 +223,11 @@ def test_large_files_are_read_in_splits(spark, tmp_path, monkeypatch):
     rows = [r[0] for r in results]
     assert len(rows[0]) > 200 and all(r == rows[-1] for r in rows)
     assert len({len(r[1]) for r in results}) == 1
+
+
+def test_time_follows_the_length():
+    """Texts that invite a scanner to start over and over."""
+    for data in (b" " * 3_000_000, b'[{"a": 1' + b" 2" * 1_500_000, b'"' * 1_000_001,
+                 b"\\" * 2_000_000, b'["' + b'\\"' * 1_000_000, b"[" * 1_000_000 + b"x" * 10**6):
+        json_parts.walk(data, json_parts.State(), 2)
+        json_parts.walk(data, json_parts.State(True), 2)
