@@ -20,6 +20,7 @@ from credsift.functions.keys import finding_id
 from credsift.functions.text import strip_space
 from credsift.schema import FINDING_COLUMNS
 from credsift.session import cut
+from credsift.sources.variants import once
 
 # The styles of scanning, in the order in which their findings arrive.
 STYLES = ["rules", "entropy", "keywords", "context"]
@@ -33,8 +34,8 @@ LINE_BREAK = r"\r\n|\r|\n"
 class Rule:
     """A pattern, the group holding the value, and texts of which any match contains one.
 
-    A rule with a ``block_pattern`` takes the block that begins in the line, over as many lines
-    as it has, and the match in the line alone only where no such block ends.
+    A rule with a ``block_end`` takes the block from the match to the next end, over as many
+    lines as it has, and the match in the line alone only where no end follows.
     """
 
     name: str
@@ -43,7 +44,7 @@ class Rule:
     literals: tuple[str, ...] = ()
     any_case: bool = False
     gate_pattern: str | None = None
-    block_pattern: str | None = None
+    block_end: str | None = None
 
     def gate(self, text: Column) -> Column:
         """Cheap test that no text with a match fails; searching a text beats a pattern."""
@@ -69,7 +70,7 @@ RULES = [
         "private-key",
         r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
         literals=("-----BEGIN ",),
-        block_pattern=r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
+        block_end=r"-----END [A-Z ]*PRIVATE KEY-----",
     ),
     Rule(
         "url-credentials",
@@ -116,31 +117,92 @@ def text_lines(texts: DataFrame) -> DataFrame:
     ).select(*rest, (F.col("line_pos") + 1).alias("line_number"), "line")
 
 
+_BLOCK_DDL = "array<struct<line_pos: int, line: string, rule: string, block: string, pos: int>>"
+
+
+def _begins(rule: Rule, text: Column) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(word)) for word in rule.literals))
+
+
+def _until_last_end(rule: Rule, lines: Column) -> Column:
+    """The text up to the last end of a block, with line feeds as line breaks."""
+    text = F.regexp_extract(F.array_join(lines, "\n"), rf"^[\s\S]*{rule.block_end}", 0)
+    return F.when(_begins(rule, F.col("text")), text)
+
+
+def _match_lines(rule: Rule, lines: Column) -> Column:
+    """The line of every match, in the order of the text."""
+
+    def per_line(line: Column, pos: Column) -> Column:
+        matches = F.regexp_extract_all(line, F.lit(rule.pattern), F.lit(0))
+        return F.when(_begins(rule, line), F.array_repeat(pos, F.size(matches)))
+
+    found = F.filter(F.transform(lines, per_line), lambda x: x.isNotNull())
+    return F.when(_begins(rule, F.col("text")), F.flatten(found))
+
+
+def _block_rows(rule: Rule, blocks: Column, heads: Column) -> Column:
+    def row(block: Column, k: Column) -> Column:
+        at = F.get(heads, k)
+        return F.struct(
+            at.alias("line_pos"),
+            F.lit(None).cast("string").alias("line"),
+            F.lit(rule.name).alias("rule"),
+            block.alias("block"),
+            (k - F.array_position(heads, at) + 1).cast("int").alias("pos"),
+        )
+
+    return F.coalesce(F.transform(blocks, row), F.array().cast(_BLOCK_DDL))
+
+
 def _scanned_lines(texts: DataFrame) -> DataFrame:
-    """Numbered lines, with the block that begins in a line where a rule asks for it.
+    """Numbered lines, and the blocks that begin in them as rows of their own (no ``line``).
 
-    Line breaks inside blocks are line feeds. Only lines with a block's first literal look at
-    the lines after them.
+    Blocks are found in one pass over the text up to the last end, as every match before that has
+    an end; the k-th match is the k-th block, which gives its line. Line breaks inside blocks are
+    line feeds. ``closed`` holds per rule the last line with a block. Only texts with a rule's
+    first literal are looked at.
     """
-    blocks = [rule for rule in RULES if rule.block_pattern]
-    lines = F.split("text", LINE_BREAK)
-
-    def block(line: Column, pos: Column) -> Column:
-        begins = reduce(or_, (F.contains(line, F.lit(w)) for r in blocks for w in r.literals))
-        rest = F.array_join(F.slice(lines, pos + 1, F.size(lines)), "\n")
-        found = [F.regexp_extract_all(rest, F.lit(r.block_pattern), F.lit(0)) for r in blocks]
-        inside = [
-            F.slice(blocks_of, F.lit(1), F.size(F.regexp_extract_all(line, F.lit(r.pattern), F.lit(0))))
-            for r, blocks_of in zip(blocks, found, strict=True)
-        ]
-        return F.when(begins, F.struct(*(x.alias(r.name) for r, x in zip(blocks, inside, strict=True))))
-
     rest = [c for c in texts.columns if c != "text"]
-    numbered = F.transform(
-        lines, lambda line, pos: F.struct(line.alias("line"), block(line, pos).alias("blocks"))
+    lines = F.col("_lines")
+    numbered = once(texts, _lines=F.split("text", LINE_BREAK))
+    closed, blocks = {}, []
+    for n, rule in enumerate(r for r in RULES if r.block_end):
+        numbered = once(numbered, **{f"_until{n}": _until_last_end(rule, lines)})
+        numbered = once(
+            numbered,
+            **{
+                f"_blocks{n}": F.regexp_extract_all(
+                    F.col(f"_until{n}"),
+                    F.lit(rf"(?=({rule.pattern}[\s\S]*?{rule.block_end}))"),
+                    F.lit(1),
+                ),
+                f"_heads{n}": _match_lines(rule, lines),
+            },
+        )
+        own, heads = F.col(f"_blocks{n}"), F.col(f"_heads{n}")
+        closed[rule.name] = F.coalesce(F.get(heads, F.size(own) - 1), F.lit(-1))
+        blocks.append(_block_rows(rule, own, heads))
+    plain = F.transform(
+        lines,
+        lambda line, pos: F.struct(
+            pos.alias("line_pos"),
+            line.alias("line"),
+            F.lit(None).cast("string").alias("rule"),
+            F.lit(None).cast("string").alias("block"),
+            F.lit(None).cast("int").alias("pos"),
+        ),
     )
-    return texts.select(*rest, F.posexplode(numbered).alias("line_pos", "l")).select(
-        *rest, (F.col("line_pos") + 1).alias("line_number"), "l.line", "l.blocks"
+    return numbered.select(
+        *rest,
+        F.struct(*(c.alias(name) for name, c in closed.items())).alias("closed"),
+        F.explode(F.concat(plain, *blocks)).alias("l"),
+    ).select(
+        *rest,
+        (F.col("l.line_pos") + 1).alias("line_number"),
+        F.coalesce("l.line", F.lit("")).alias("line"),
+        F.struct("l.rule", "l.block", "l.pos").alias("block"),
+        "closed",
     )
 
 
@@ -155,23 +217,30 @@ def _candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
 def _hits(style: str, rule: Rule, keep: Callable[[Column], Column] | None = None) -> Column:
     """All matches of a rule in the line."""
     found = F.regexp_extract_all(F.col("line"), F.lit(rule.pattern), F.lit(rule.group))
-    if rule.block_pattern:
-        whole = F.col("blocks")[rule.name]
-        found = F.when(F.size(whole) > 0, whole).otherwise(found)
     if keep is not None:
         found = F.filter(found, keep)
-    hits = F.transform(
-        found,
-        lambda value, pos: F.struct(
+
+    def hit(value: Column, pos: Column) -> Column:
+        return F.struct(
             F.lit(style).alias("style"),
             F.lit(rule.name).alias("rule"),
             value.alias("value"),
             pos.alias("pos"),
-        ),
-    )
+        )
+
+    hits = F.transform(found, hit)
     if not rule.literals:
         return hits
-    return F.coalesce(F.when(rule.gate(F.col("line")), hits), F.array().cast(_HITS_DDL))
+    gate = rule.gate(F.col("line"))
+    if rule.block_end:
+        gate = gate & (F.col("line_number") - 1 > F.col("closed")[rule.name])
+    hits = F.when(gate, hits)
+    if rule.block_end:
+        block = F.col("block")
+        hits = F.when(block["rule"] == rule.name, F.array(hit(block["block"], block["pos"]))).otherwise(
+            hits
+        )
+    return F.coalesce(hits, F.array().cast(_HITS_DDL))
 
 
 def _line_hit(style: str, rule: Rule) -> Column:
@@ -281,5 +350,6 @@ def scan_history(versions: DataFrame) -> DataFrame:
     )
     # only lines with a hit meet their occurrences
     any_hit = reduce(or_, (F.col("line").rlike(rule.pattern) for rule in RULES))
+    any_hit = any_hit | F.col("block.rule").isNotNull()
     lines = _scanned_lines(contents).filter(any_hit).join(occurrences, "blob_id")
     return _findings(lines, *_by_rules())
