@@ -5,6 +5,7 @@ import random
 import plain
 import pytest
 
+from credsift.operators import overlaps
 from credsift.operators.proximity import absorb_overlapping
 from credsift.schema import FINDING_DDL
 from credsift.session import cut
@@ -114,9 +115,7 @@ def test_a_long_chain_and_a_very_long_value(spark):
     assert got == want
 
 
-def test_the_fold_by_itself():
-    from credsift.operators.overlaps import fold
-
+def test_the_fold_by_itself(monkeypatch):
     rng = random.Random(11)
     for _ in range(300):
         rows = sorted(
@@ -124,11 +123,54 @@ def test_the_fold_by_itself():
             key=lambda r: -len(plain.norm(r["secret_value"])),
         )
         rows = list({plain.norm(r["secret_value"]): r for r in reversed(rows)}.values())[::-1]
-        cores = [plain.core(r["secret_value"]) for r in rows]
         items = [
-            (len(plain.norm(r["secret_value"])), c,
-             {x for x in cores if x in plain.norm(r["secret_value"])}, r["found_by"])
-            for r, c in zip(rows, cores, strict=True)
+            (r["id"], plain.norm(r["secret_value"]), plain.core(r["secret_value"]), r["found_by"])
+            for r in rows
         ]
-        got = {rows[i]["id"]: sorted(t) for i, t in fold(items)}
-        assert got == {r["id"]: r["found_by"] for r in plain.absorb(rows)}
+        want = {r["id"]: r["found_by"] for r in plain.absorb(rows)}
+        monkeypatch.setattr(overlaps, "_FEW", rng.choice([0, 64]))
+        monkeypatch.setattr(overlaps, "_SHORT", rng.choice([3, 1024]))
+        assert {i: sorted(t) for i, t in overlaps.fold(items)} == want
+
+
+def test_many_values_with_tiny_cores_at_one_line(monkeypatch):
+    """The index finds what comparing all survivors finds."""
+    rng = random.Random(12)
+    values = [f"{rng.randrange(2**60):015x}" for _ in range(1500)]
+    values += [f"k={v[i : i + n]}" for v, i, n in
+               ((rng.choice(values), rng.randrange(12), rng.randint(1, 9)) for _ in range(600))]
+    items = sorted(
+        ((str(n), plain.norm(v), plain.core(v), ["abcd"[n % 4]])
+         for n, v in enumerate(dict.fromkeys(values))), key=lambda i: -len(i[1]))
+    found = overlaps.fold(items)
+    monkeypatch.setattr(overlaps, "_FEW", 10**9)
+    assert found == overlaps.fold(items)
+
+
+def test_a_stream_of_100_000_nested_values():
+    """5 GB of text go through the fold; it holds one value."""
+    items = ((str(n), "z" * (100_000 - n), "z" * (100_000 - n), ["abcd"[n % 4]])
+             for n in range(100_000))
+    assert overlaps.fold(items) == [("0", {"a", "b", "c", "d"})]
+
+
+def test_repetitive_and_nested_values(spark):
+    """Two values of 3 M equal characters, and values that lie in each other by the thousand."""
+    million = 1_000_000
+    same = [_finding(0, "A" * 3 * million, "same"), _finding(1, "A" * (3 * million - 1), "same"),
+            _finding(2, "A" * million + "B" + "A" * million, "same")]
+    text = "".join(f"{n * 2654435761 % 2**32:08x}" for n in range(250))
+    nested = [
+        _finding(10 + n, text[i : i + size], "nested")
+        for n, (size, i) in enumerate((size, i) for size in range(2000, 1950, -1)
+                                      for i in range(2000 - size + 1))
+    ]
+    deep = "ab" * 10_000
+    nested += [_finding(10_000 + n, deep[: 20_000 - n], "deep") for n in range(0, 10_000, 10)]
+    nested += [_finding(200_000 + n, f"S{text[: 1500 - n % 1400]}{n}", "many") for n in range(3000)]
+    got = _absorbed(spark, [*same, *nested])
+    assert got["i0"] == ["a", "b"] and "i1" not in got and got["i2"] == ["c"]
+    assert got["i10"] == ["a", "b", "c", "d"]
+    assert got["i10000"] == ["a", "c"]
+    assert len([i for i in got if 10 <= int(i[1:]) < 10_000]) == 1
+    assert len([i for i in got if 10_000 <= int(i[1:]) < 200_000]) == 1
