@@ -63,3 +63,30 @@ def test_open_ends_and_rows_that_need_nothing(spark):
     assert {r.id: r.commit_hash for r in got.collect()} == {
         "1": "early", "4": "early", "5": "late", "300": "late", "2147483647": "late", "x": "", "y": "c"}
     assert got.columns == df.columns
+
+
+def test_ranges_that_reach_over_chunks(spark):
+    from credsift.operators.attribution import _blamed
+
+    rng = random.Random(4)
+    ranges, owner, lines = [], {}, []
+    for path in ("a", "b", "c"):
+        line = 1
+        while line < 3000:
+            last = line + rng.choice([0, 2, 30, 400])
+            if rng.random() < 0.8:
+                ranges.append(("r", path, line, last, f"{path}{line}"))
+                owner.update({(path, k): f"{path}{line}" for k in range(line, last + 1)})
+            line = last + 1 + rng.choice([0, 0, 90])
+        lines += [("r", path, n, f"{path}-{n}") for n in rng.sample(range(1, 3600), 300)]
+    blame = spark.createDataFrame(
+        ranges, "repository STRING, file_path STRING, line_start INT, line_end INT, commit_hash STRING"
+    )
+    places = spark.createDataFrame(
+        lines, "repository STRING, file_path STRING, line_number INT, blob_id STRING"
+    )
+    for chunk in (1, 50, 1000, 100_000):
+        got = _blamed(places, blame, ["repository", "file_path"], chunk).collect()
+        assert {(r.file_path, r.line_number): r.blamed for r in got} == {
+            (p, n): owner.get((p, n)) for _, p, n, _ in lines}
+        assert len(got) == len(lines)
