@@ -12,6 +12,7 @@ whole estate alike.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from credsift.operators.merge import merge_by, with_norm
 from credsift.operators.proximity import absorb_overlapping
@@ -35,3 +36,17 @@ def dedup_findings(findings: DataFrame, keep_seq: bool = False) -> DataFrame:
     merged = cut(merge_same_secret(merge_same_id(findings)), "merged")
     unique = absorb_overlapping(merged)
     return unique.select(*FINDING_COLUMNS, *(["seq"] if keep_seq else []))
+
+
+def dedup_with_stats(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The findings of ``dedup_findings``, and raw and unique counts per repository.
+
+    The number of raw findings is carried through the passes, so the findings are read once.
+    """
+    counted = with_norm(findings.withColumn("raw", F.lit(1).cast("bigint")))
+    first = merge_by(counted, "id", sums=("raw",))
+    merged = cut(merge_by(first, "repository", "norm", sums=("raw",)), "merged")
+    unique = cut(absorb_overlapping(merged.drop("raw")).select(*FINDING_COLUMNS), "unique")
+    before = merged.groupBy("repository").agg(F.sum("raw").alias("raw_findings"))
+    after = unique.groupBy("repository").agg(F.count("*").alias("unique_findings"))
+    return unique, before.join(after, "repository")

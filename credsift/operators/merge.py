@@ -46,14 +46,18 @@ def start_state(df: DataFrame) -> DataFrame:
     )
 
 
-def combine_states(df: DataFrame, *keys: str) -> DataFrame:
-    """Combine states per key; ``seq`` of the result is that of the first finding."""
+def combine_states(df: DataFrame, *keys: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Combine states per key; ``seq`` of the result is that of the first finding.
+
+    ``sums`` names further columns that are added up.
+    """
     return df.groupBy(*keys).agg(
         F.min("best").alias("best"),
         F.min("first_commit").alias("first_commit"),
         F.min("first_line").alias("first_line"),
         F.min("seq").alias("seq"),
         union_of_tools("found_by").alias("found_by"),
+        *(F.sum(c).alias(c) for c in sums),
     )
 
 
@@ -62,7 +66,7 @@ def union_of_tools(column: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
 
 
-def finish_state(df: DataFrame) -> DataFrame:
+def finish_state(df: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
     """States to findings: the best row, blanks filled field by field from the first bearer."""
     best = F.col("best")
     return df.select(
@@ -77,9 +81,10 @@ def finish_state(df: DataFrame) -> DataFrame:
         ).alias("commit_hash"),
         "found_by",
         "seq",
+        *sums,
     )
 
 
-def merge_by(df: DataFrame, *keys: str) -> DataFrame:
+def merge_by(df: DataFrame, *keys: str, sums: tuple[str, ...] = ()) -> DataFrame:
     """Merge all findings with equal keys. Needs ``seq`` and ``norm``; norm is made anew."""
-    return with_norm(finish_state(combine_states(start_state(df), *keys)))
+    return with_norm(finish_state(combine_states(start_state(df), *keys, sums=sums), sums))

@@ -224,6 +224,38 @@ def titus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landing(_marked(spark, sf_dir), "titus", value)
 
 
+def repository_report_lines(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
+    """Lines of one long report per repository: the records of all usable reports of a tool, in
+    their order, behind a record that nobody can use."""
+    reports = {"gitleaks": gitleaks_reports, "titus": titus_reports}[tool](spark, sf_dir)
+    records = reports.filter(F.startswith("value", F.lit("[")) & (F.col("value") != "[]")).select(
+        "repository",
+        F.lit(1).alias("part"),
+        "path",
+        F.concat(F.lit(","), F.expr("substr(value, 2, length(value) - 2)")).alias("value"),
+    )
+    ends = (
+        records.select("repository")
+        .distinct()
+        .select(
+            "repository",
+            F.explode(
+                F.array(
+                    F.struct(F.lit(0).alias("part"), F.lit("[7").alias("value")),
+                    F.struct(F.lit(2).alias("part"), F.lit("]").alias("value")),
+                )
+            ).alias("end"),
+        )
+        .select("repository", "end.part", F.lit("").alias("path"), "end.value")
+    )
+    return (
+        records.unionByName(ends)
+        .repartition("repository")
+        .sortWithinPartitions("repository", "part", "path")
+        .select("repository", "value")
+    )
+
+
 def all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         gitleaks_reports(spark, sf_dir)

@@ -292,6 +292,19 @@ ORACLES["blob_path_first"] = f"WITH {MARKS} SELECT * FROM blob_first"
 ORACLES["blob_path_ffill"] = f"WITH {MARKS} SELECT * FROM blob_last"
 ORACLES["blob_path_fallback"] = f"WITH {MARKS} SELECT * FROM blob_paths"
 ORACLES["repositories"] = "SELECT DISTINCT 'repo-' || (l_suppkey % 8) AS repository FROM lineitem"
+_GITLEAKS_TITUS = f"""{marked()}, {MARKS}, {GITLEAKS}, {titus(True)},
+everything AS (
+  SELECT {COLUMNS}, found_by, seq FROM gitleaks
+  UNION ALL SELECT {COLUMNS}, found_by, seq FROM titus),
+normed AS (SELECT *, {norm('secret_value')} AS norm FROM everything)"""
+ORACLES["repository_reports"] = f"WITH {_GITLEAKS_TITUS} {flat('everything')}"
+ORACLES["listed_repositories"] = """
+SELECT DISTINCT 'repo-' || (l_suppkey % 8) AS repository, 'gitleaks' AS tool,
+       CAST(1 AS BIGINT) AS reports
+FROM lineitem"""
+ORACLES["streaming_estate"] = f"""WITH {_GITLEAKS_TITUS},
+merged AS ({merge('normed', 'id')})
+{flat('merged')}"""
 ORACLES["tool_selection"] = f"""WITH {marked()}
 SELECT tool, repository, count(*) AS reports
 FROM marked, (VALUES ('gitleaks'), ('titus')) AS t(tool) GROUP BY ALL"""

@@ -126,6 +126,43 @@ def repositories(spark, sf_dir):
     )
 
 
+def _drop_area(spark, sf_dir, tools) -> str:
+    """A drop area with one report per repository and tool, all records of a repository in it."""
+    drop = fresh_path(spark, "estate-drop")
+    for tool in tools:
+        inputs.repository_report_lines(spark, sf_dir, tool).write.partitionBy("repository").text(
+            f"{drop}/{tool}"
+        )
+    return drop
+
+
+@query
+def repository_reports(spark, sf_dir):
+    """Reports of many records, read from files: gitleaks and titus, with files of blobs."""
+    drop = _drop_area(spark, sf_dir, ["gitleaks", "titus"])
+    paths = blobs.blob_paths(inputs.provenance(spark, sf_dir), inputs.report_lines(spark, sf_dir))
+    raw = [
+        landing.read_landing(spark, f"{drop}/{tool}", [tool], pattern="*.txt")
+        for tool in ("gitleaks", "titus")
+    ]
+    return flat(
+        registry.read_findings(
+            raw[0].unionByName(raw[1]), ["gitleaks", "titus"], titus={"blob_paths": paths}
+        )
+    )
+
+
+@query
+def listed_repositories(spark, sf_dir):
+    """Repositories of a drop area, from the names of its files alone."""
+    drop = _drop_area(spark, sf_dir, ["gitleaks"])
+    return (
+        landing.list_reports(spark, drop, ["gitleaks"], pattern="*.txt")
+        .groupBy("repository", "tool")
+        .agg(F.count("*").alias("reports"))
+    )
+
+
 @query
 def tool_selection(spark, sf_dir):
     chosen = landing.select_tools(
@@ -456,9 +493,7 @@ def distinct_tools(spark, sf_dir):
 
 @query
 def reduction_stats(spark, sf_dir):
-    return reports.reduction_stats(
-        inputs.lineitem_findings(spark, sf_dir), _unique(spark, sf_dir)
-    )
+    return dedup.dedup_with_stats(inputs.lineitem_findings(spark, sf_dir))[1]
 
 
 @query
@@ -515,6 +550,25 @@ def streaming_ingest(spark, sf_dir):
     return flat(ingest.current_by_id(spark, state))
 
 
+@query
+def streaming_estate(spark, sf_dir):
+    """Reports of two tools streamed into one state, files of blobs looked up afterwards."""
+    drop = _drop_area(spark, sf_dir, ["gitleaks", "titus"])
+    base = fresh_path(spark, "stream")
+    for tool in ("gitleaks", "titus"):
+        ingest.stream_reports(
+            spark,
+            tool,
+            f"{drop}/{tool}",
+            f"{base}/state",
+            f"{base}/checkpoint-{tool}",
+            pattern="*.txt",
+            files_per_batch=3,
+        ).awaitTermination()
+    paths = blobs.blob_paths(inputs.provenance(spark, sf_dir), inputs.report_lines(spark, sf_dir))
+    return flat(ingest.current_by_id(spark, f"{base}/state", titus={"blob_paths": paths}))
+
+
 # scans
 
 

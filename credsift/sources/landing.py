@@ -56,24 +56,30 @@ def drop_tool(tool: str) -> None:
 
 
 def read_landing(
-    spark: SparkSession, root: str, tools: Iterable[str] | None = None, levels: int = 1
+    spark: SparkSession,
+    root: str,
+    tools: Iterable[str] | None = None,
+    levels: int = 1,
+    pattern: str | None = None,
 ) -> DataFrame:
     """Reports below ``root`` for the chosen tools (all if None); unknown names are ignored.
 
     Only files of chosen tools are listed. A missing folder or report yields no rows. A
     repository is named by its last ``levels`` folders, so that ``org1/api`` and ``org2/api``
-    can be told apart.
+    can be told apart. ``pattern`` stands in for the tool's own file name (a glob).
     """
     landing = spark.createDataFrame([], LANDING_DDL)
     for tool in dict.fromkeys(TOOLS if tools is None else tools):
         if tool in RAW_NAMES:
-            landing = landing.unionByName(_read_tool(spark, root, tool, levels))
+            landing = landing.unionByName(_read_tool(spark, root, tool, levels, pattern))
     return landing
 
 
-def _read_tool(spark: SparkSession, root: str, tool: str, levels: int) -> DataFrame:
+def _read_tool(
+    spark: SparkSession, root: str, tool: str, levels: int, pattern: str | None
+) -> DataFrame:
     reader = (
-        spark.read.option("pathGlobFilter", f"*{RAW_NAMES[tool]}")
+        spark.read.option("pathGlobFilter", pattern or f"*{RAW_NAMES[tool]}")
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", "true")
     )
@@ -195,3 +201,61 @@ def open_landing(spark: SparkSession, path: str) -> DataFrame:
 def repositories(paths: DataFrame) -> DataFrame:
     """Repositories seen in a set of report or repository paths (column ``path``)."""
     return paths.select(last_path_part(F.col("path")).alias("repository")).distinct()
+
+
+def _listed(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(path, length) of files, from their listing alone; no file is opened."""
+    files = spark.read.format("binaryFile").options(**options)
+    try:
+        return files.load(path).select(_decoded(F.col("path")).alias("path"), "length")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path STRING, length BIGINT")
+
+
+def list_reports(
+    spark: SparkSession,
+    root: str,
+    tools: Iterable[str] | None = None,
+    levels: int = 1,
+    pattern: str | None = None,
+) -> DataFrame:
+    """(repository, tool, path, length) of the reports below ``root``, as ``read_landing`` reads
+    them, without reading any."""
+    reports = spark.createDataFrame([], "repository STRING, tool STRING, path STRING, length BIGINT")
+    for tool in dict.fromkeys(TOOLS if tools is None else tools):
+        if tool in RAW_NAMES:
+            options = {"pathGlobFilter": pattern or f"*{RAW_NAMES[tool]}", "recursiveFileLookup": "true"}
+            reports = reports.unionByName(
+                _listed(spark, root, **options).select(
+                    repository_of(F.col("path"), levels).alias("repository"),
+                    F.lit(tool).alias("tool"),
+                    "path",
+                    "length",
+                )
+            )
+    return reports
+
+
+def discover_repositories(spark: SparkSession, root: str, levels: int = 1) -> DataFrame:
+    """(repository, path) of the working copies at or below ``root``.
+
+    ``root`` itself if it holds ``.git``, else the folders ``levels`` below it that do, else
+    ``root`` as the one target. Only the names of ``.git/HEAD`` files are looked at.
+    """
+    root = root.rstrip("/")
+    own = _copies(_listed(spark, f"{root}/.git/HEAD"), 1)
+    if not own.isEmpty():
+        return own
+    below = _copies(_listed(spark, f"{root}{'/*' * levels}/.git/HEAD"), levels)
+    if not below.isEmpty():
+        return below
+    whole = spark.createDataFrame([(root,)], "path STRING")
+    return whole.select(last_path_part(F.col("path")).alias("repository"), "path")
+
+
+def _copies(heads: DataFrame, levels: int) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("path", "/[.]git/HEAD$", ""), "^file:/+", "/")
+    return heads.select(repository_of(F.concat(path, F.lit("/.git")), levels).alias("repository"),
+                        path.alias("path"))

@@ -91,6 +91,23 @@ def read_reports(
     return _union(found, reports), _all_rejects(bad, reports)
 
 
+def resolve(found: DataFrame, **lookups) -> DataFrame:
+    """Findings that were read without ``lookups`` as if they had been read with them.
+
+    ``found`` holds findings before any merge, with ``blob_id``.
+    """
+    rest, parts = found, []
+    for tool, module in _parsed.items():
+        own = _lookups(tool, lookups)
+        if own:
+            is_own = F.col("found_by")[0] == tool
+            parts.append(module.resolve(found.filter(is_own), **own))
+            rest = rest.filter(~is_own)
+    for part in parts:
+        rest = rest.unionByName(part)
+    return rest
+
+
 def read_rejects(reports: DataFrame) -> DataFrame:
     """Reports and records that could not be used, with the reason."""
     return _all_rejects([reader(reports) for reader in _rejects.values()], reports)

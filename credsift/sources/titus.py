@@ -1,7 +1,7 @@
 """Titus reports: an array of findings, each with matches; texts are base64.
 
 A match names a blob, not a file. ``findings`` takes the blob paths as a table and leaves the
-commit to the attribution operators.
+commit to the attribution operators; ``resolve`` fills the files in later.
 """
 
 from __future__ import annotations
@@ -82,56 +82,67 @@ def _decoded(df: DataFrame, encoded: Column) -> DataFrame:
     return df.drop("encoded").filter(F.col("secret_value") != "")
 
 
-def located_findings(parts: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
-    """All titus findings, commits still blank, with the blob of each match (``blob_id``).
+def _located(parts: DataFrame) -> DataFrame:
+    """All titus findings, file and commit still blank, with the blob of each match (``blob_id``).
 
-    A match takes its file from ``blob_paths`` (repository, blob_id, path). A record without
-    matches has its first group as the value and no location.
+    A record without matches has its first group as the value and no location (``lone``).
     """
     match, lone = F.col("value"), F.col("lone")
-    found = _decoded(
-        _matches(parts).filter("usable"),
-        F.when(lone, F.get(V.items(match, "Groups"), F.lit(0)).try_cast("string")).otherwise(
-            F.try_variant_get(match, "$.Snippet.Matching", "string")
-        ),
-    ).select(
-        "repository",
-        F.when(lone, F.lit(""))
-        .otherwise(F.coalesce(F.try_variant_get(match, "$.BlobID", "string"), F.lit("")))
-        .alias("blob_id"),
-        line_number(
-            F.try_variant_get(match, "$.Location.Source.Start.Line", "string")
-        ).alias("line_number"),
-        F.when(lone, F.col("name"))
-        .otherwise(F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("name")))
-        .alias("secret_type"),
-        "secret_value",
-        arrival(
-            TOOL, F.col("path"), F.lit(0), F.lit(""), F.col("pos"), F.coalesce("sub", F.lit(0))
-        ).alias("seq"),
-        "lone",
-    )
-    if blob_paths is None:
-        found = found.withColumn("path", F.lit(None).cast("string"))
-    else:
-        places = blob_paths.select("repository", "blob_id", "path").filter("blob_id <> ''")
-        found = found.join(places, ["repository", "blob_id"], "left")
     return (
-        found.withColumn("file_path", F.coalesce("path", F.lit("")))
-        .withColumn("commit_hash", F.lit(""))
-        .withColumn("found_by", F.array(F.lit(TOOL)))
+        _decoded(
+            _matches(parts).filter("usable"),
+            F.when(lone, F.get(V.items(match, "Groups"), F.lit(0)).try_cast("string")).otherwise(
+                F.try_variant_get(match, "$.Snippet.Matching", "string")
+            ),
+        )
+        .select(
+            "repository",
+            F.lit("").alias("file_path"),
+            F.when(lone, F.lit(""))
+            .otherwise(F.coalesce(F.try_variant_get(match, "$.BlobID", "string"), F.lit("")))
+            .alias("blob_id"),
+            line_number(
+                F.try_variant_get(match, "$.Location.Source.Start.Line", "string")
+            ).alias("line_number"),
+            F.when(lone, F.col("name"))
+            .otherwise(F.coalesce(F.nullif(V.text(match, "RuleName"), F.lit("")), F.col("name")))
+            .alias("secret_type"),
+            "secret_value",
+            F.lit("").alias("commit_hash"),
+            F.array(F.lit(TOOL)).alias("found_by"),
+            arrival(
+                TOOL, F.col("path"), F.lit(0), F.lit(""), F.col("pos"), F.coalesce("sub", F.lit(0))
+            ).alias("seq"),
+            "lone",
+        )
         .withColumn("id", finding_id(*map(F.col, ("repository", "file_path", "secret_value"))))
         .select(*FINDING_COLUMNS, "seq", "blob_id", "lone")
     )
 
 
+def unresolved(parts: DataFrame) -> DataFrame:
+    return _located(parts).drop("lone")
+
+
+def resolve(found: DataFrame, blob_paths: DataFrame) -> DataFrame:
+    """Findings with the file of their blob, from ``blob_paths`` (repository, blob_id, path)."""
+    places = blob_paths.select("repository", "blob_id", "path").filter("blob_id <> ''")
+    return (
+        found.join(places, ["repository", "blob_id"], "left")
+        .withColumn("file_path", F.coalesce("path", F.lit("")))
+        .withColumn("id", finding_id(*map(F.col, ("repository", "file_path", "secret_value"))))
+        .select(*found.columns)
+    )
+
+
 def group_findings(landing: DataFrame) -> DataFrame:
     """Findings without matches: the first group is the value, no location is known."""
-    return located_findings(parts(landing)).filter("lone").select(*FINDING_COLUMNS, "seq")
+    return _located(parts(landing)).filter("lone").select(*FINDING_COLUMNS, "seq")
 
 
 def findings_of(parts: DataFrame, blob_paths: DataFrame | None = None) -> DataFrame:
-    return located_findings(parts, blob_paths).drop("lone")
+    found = unresolved(parts)
+    return found if blob_paths is None else resolve(found, blob_paths)
 
 
 def rejects_of(parts: DataFrame) -> DataFrame:
