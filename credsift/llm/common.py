@@ -51,6 +51,15 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*(hashable(name, kind) for name, kind in df.dtypes))
 
 
+def row_key(key: str, content: Column) -> Column:
+    """A key that is never NULL, of an id of any type (or none) and a hash of what goes with it."""
+    return F.struct(
+        F.col(key).isNull().alias("none"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"),
+        content.alias("content"),
+    )
+
+
 def hash_unit(seed: str, key: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the key only; 52 bits of an MD5."""
     text = F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))

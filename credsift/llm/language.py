@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsift.llm.common import free_name, hash_unit
+from credsift.llm.common import free_name, hash_unit, row_key
 from credsift.session import cut
 
 UNDETERMINED = "und"
@@ -368,9 +368,7 @@ def kept_documents(
 
 def _row_key(docs: DataFrame) -> Column:
     """Rows with equal keys have equal evidence, so they get one verdict."""
-    return F.struct(
-        F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text", "source").alias("text")
-    )
+    return row_key("doc_id", F.xxhash64("text", "source"))
 
 
 def _document_verdicts(docs: DataFrame, model: TextModel, languages=None) -> DataFrame:

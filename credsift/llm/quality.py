@@ -5,7 +5,8 @@ by ``TEMPER`` as they depend on each other. Its bins are counted by one grouped
 labelled texts. The prior of a document is the posterior mean of its path (a part of a site), which
 is shrunk towards the posterior mean of its host, which is shrunk towards the share of good
 documents over all. A document counts for its site with its label, or with ``SOFT`` of its text
-posterior when it has none; its own count is taken out before it is judged. How strongly sites
+posterior when it has none; its own count (that of all its rows where it has a label) is taken out
+before it is judged. How strongly sites
 are shrunk is learnt from the spread between them (method of moments), so sparse sites follow the
 whole and large ones speak for themselves.
 
@@ -25,8 +26,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from credsift.llm.common import free_name
+from credsift.llm.common import free_name, row_key
 from credsift.llm.text_stats import stats_of
 from credsift.llm.toxicity import held_out
 from credsift.session import cut
@@ -145,7 +147,7 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key:
         "key", "_doc", "host", "path", *(_bin(n, v).alias(f"b_{n}") for n, v in _statistics().items())
     )
     known = cut(
-        binned.join(_labels(labels), F.col("_doc") == F.col("_id"), "left").drop("_id", "_doc"),
+        binned.join(_labels(labels), F.col("_doc") == F.col("_id"), "left").drop("_id"),
         "quality-stats",
     )
     share, logs = _text_model(known)
@@ -153,8 +155,10 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key:
         lambda a, b: a + b,
         (F.get(F.array(*(F.lit(x) for x in logs[n])), F.col(f"b_{n}")) for n in BINS),
     ) * TEMPER
-    weighed = known.select("key", "host", "path", "good", ratio.alias("ratio")).select(
+    weighed = known.select("key", "_doc", "host", "path", "good", ratio.alias("ratio")).select(
         "key",
+        "_doc",
+        "good",
         "host",
         "path",
         "ratio",
@@ -182,14 +186,35 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key:
     joined = weighed.join(
         sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
     )
-    # without the document's own count
-    own_n, own_g = F.col("weight"), F.col("weight") * F.col("vote")
+    # without the document's own count: that of the row, or of all rows with its label
+    labelled = weighed.filter("good IS NOT NULL").groupBy("_doc", "host", "path").agg(
+        F.sum("weight").alias("own_n"), F.sum(F.col("weight") * F.col("vote")).alias("own_g")
+    )
+    in_host = Window.partitionBy("_doc", "host")
+    labelled = labelled.select(
+        F.col("_doc").alias("_d"), F.col("host").alias("_dh"), F.col("path").alias("_dp"), "own_n",
+        "own_g", F.sum("own_n").over(in_host).alias("own_hn"),
+        F.sum("own_g").over(in_host).alias("own_hg"),
+    )
+    joined = joined.join(
+        labelled,
+        F.col("good").isNotNull()
+        & (F.col("_doc") == F.col("_d"))
+        & F.col("host").eqNullSafe(F.col("_dh"))
+        & F.col("path").eqNullSafe(F.col("_dp")),
+        "left",
+    )
+    one_n, one_g = F.col("weight"), F.col("weight") * F.col("vote")
 
-    def less(column: str, own: Column) -> Column:
-        return F.greatest(F.col(column) - own, F.lit(0.0))
+    def less(column: str, own: str, one: Column) -> Column:
+        return F.greatest(F.col(column) - F.coalesce(F.col(own), one), F.lit(0.0))
 
-    prior = (less("hg", own_g) + host_strength * top) / (less("hn", own_n) + host_strength)
-    prior = (less("g", own_g) + path_strength * prior) / (less("n", own_n) + path_strength)
+    prior = (less("hg", "own_hg", one_g) + host_strength * top) / (
+        less("hn", "own_hn", one_n) + host_strength
+    )
+    prior = (less("g", "own_g", one_g) + path_strength * prior) / (
+        less("n", "own_n", one_n) + path_strength
+    )
     return joined.select(
         "key", (1 / (1 + F.exp(-(_logit(prior) + F.col("ratio"))))).alias("score")
     )
@@ -222,12 +247,36 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """The documents that score ``threshold`` or more."""
     host, path = source_of()
     row, bad = free_name(docs, "_row"), free_name(docs, "_bad")
-    key = F.struct(
-        F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text", "source", "lang").alias("h")
-    )
+    key = row_key("doc_id", F.xxhash64("text", "source", "lang"))
     low = scored(docs, labels, host, path, key).filter(F.col("score") < threshold)
     return (
         docs.withColumn(row, key)
         .join(low.select(F.col("key").alias(bad)).distinct(), F.col(row) == F.col(bad), "left_anti")
         .select(*docs.columns)
     )
+
+
+def page_quality(
+    pages: DataFrame, texts: Column, docs: DataFrame, labels: DataFrame
+) -> DataFrame:
+    """(page_id, url, host, path, score) of pages, whose addresses give host and path.
+
+    ``texts`` is the column of their main texts. What a good text looks like is learnt from the
+    labelled documents; pages have no labels, so their sites speak by the texts they hold.
+    """
+    source, lang = source_of()
+    host, path = address_of(F.col("url"))
+    none = F.lit(None)
+    rows = docs.select(
+        "doc_id", "text", source.alias("host"), lang.alias("path"), none.cast("long").alias("page_id"),
+        none.cast("string").alias("url"), F.lit(False).alias("page"),
+    ).unionByName(
+        pages.select(
+            none.cast(docs.schema["doc_id"].dataType).alias("doc_id"), texts.alias("text"),
+            host.alias("host"), path.alias("path"), F.col("page_id").cast("long"), "url",
+            F.lit(True).alias("page"),
+        )
+    )
+    key = F.struct("page", "page_id", "url", "host", "path")
+    got = scored(rows, labels, F.col("host"), F.col("path"), key).filter("key.page")
+    return got.select("key.page_id", "key.url", "key.host", "key.path", "score")

@@ -111,14 +111,21 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 
 def thresholds(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, rule columns): the cutoffs of every stratum that has good labelled texts."""
+    """(stratum, rule columns): the cutoffs of every stratum that has good labelled texts.
+
+    Rows of one doc_id, and copies of one text, are one trial each, rejected if any row is.
+    """
     of = signals()
     good = stats.filter(~base_failed()).join(good_ids(labels), "doc_id", "left_semi")
+    trials = good.select("stratum", "doc_id", "copy_of", *(of[r].alias(r) for r in CUTOFFS))
+    worst = [F.max(r).alias(r) for r in CUTOFFS]
+    trials = trials.groupBy("stratum", "doc_id").agg(F.min("copy_of").alias("copy_of"), *worst)
+    trials = trials.groupBy("stratum", "copy_of").agg(*worst)
     counts = cut(
-        good.groupBy("stratum").agg(
+        trials.groupBy("stratum").agg(
             F.count("*").alias("good"),
             *(
-                F.array(*(F.sum((of[r] > c).cast("long")) for c in cutoffs)).alias(r)
+                F.array(*(F.sum((F.col(r) > c).cast("long")) for c in cutoffs)).alias(r)
                 for r, cutoffs in CUTOFFS.items()
             ),
         ),
@@ -144,8 +151,11 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFra
     """doc_id, the counts, base_failed and kept of every document."""
     stats = cut(
         docs.select(
-            "doc_id", F.col(stratum).alias("stratum"), stats_of(F.col("text")).alias("s")
-        ).select("doc_id", "stratum", "s.*"),
+            "doc_id",
+            F.col(stratum).alias("stratum"),
+            F.xxhash64("text").alias("copy_of"),
+            stats_of(F.col("text")).alias("s"),
+        ).select("doc_id", "stratum", "copy_of", "s.*"),
         "rules-stats",
     )
     limits = cut(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from credsift.llm import (
     bpe,
@@ -88,6 +89,14 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters_digest(table(spark, sf_dir, "embeddings"))
 
 
+def quality_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over pages, whose addresses give host and path."""
+    pages = table(spark, sf_dir, "pages")
+    texts = html_content.main_text(F.col("html"), html_content.train(pages))
+    documents = table(spark, sf_dir, "documents")
+    return quality.page_quality(pages, texts, documents, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -102,6 +111,7 @@ QUERIES: dict[str, Query] = {
         op8_exact_topk,
         op9_toxicity,
         op10_quality,
+        quality_pages,
         op11_lexical_search,
         op12_html_text,
         op13_centroid_clusters,

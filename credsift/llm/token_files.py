@@ -33,9 +33,6 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 # Ids of a shard, unless one document has more.
 SHARD_IDS = 3072 * range_coder.BLOCK
-# Blocks are shorter where a shard would have fewer than this: they are coded side by side.
-BLOCKS = 1024
-LEAST_BLOCK = 256
 # Pre-tokens that a worker keeps.
 KEPT = 1 << 20
 # Bytes of ids that are handed on at once.
@@ -69,8 +66,7 @@ class _Shards:
         self.size += len(ids)
 
     def row(self) -> pa.RecordBatch:
-        block = min(max(-(-self.size // BLOCKS), LEAST_BLOCK), range_coder.BLOCK)
-        blocks = range_coder.encode(np.concatenate(self.ids), self.n_ids, block)
+        blocks = range_coder.encode(np.concatenate(self.ids), self.n_ids, range_coder.BLOCK)
         batch = pa.RecordBatch.from_arrays(
             [
                 pa.array([self.file], pa.int32()),

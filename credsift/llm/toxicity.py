@@ -7,15 +7,17 @@ them (skip-grams). Words are lower-cased runs between ASCII blanks and punctuati
 Training takes at most about ``SAMPLE`` labelled rows, at most half of them toxic and at most two
 clean ones for a toxic one, chosen by a hash of the doc_id. A doc_id teaches one text, the least
 of its texts, however many rows it has. The features of these texts are dealt to ``SHARDS`` tasks,
-each of which runs FTRL-proximal (per-coordinate rates, L1 sparsity) for ``EPOCHS`` passes; the
-mean of the shards' weights is the model. L1 leaves few weights, and there are never more than buckets, so the
+each of which runs FTRL-proximal (per-coordinate rates, L1 sparsity) for ``EPOCHS`` passes over its
+texts, in the order of a hash and up to ``SHARD_FEATURES`` features in all; the mean of the shards'
+weights, by the texts that taught them, is the model. L1 leaves few weights, and there are never more than buckets, so the
 model's broadcast size is bounded by design (8 bytes a bucket).
 
 Defined results: NULL and empty texts score the bias alone; rows without a doc_id are scored, are
 not held out and teach nothing; a doc_id labelled twice counts as toxic if one label says so; NULL
-labels teach nothing; where nothing has been learnt (no labels, none left after the hold-out, or no
-weight that outlasts L1) every score is 0.5, no document counts as toxic, and ``drop_toxic`` keeps
-them all; an empty table gives no rows. Other columns pass through ``scored``.
+labels teach nothing, nor do labels without a document; where nothing has been learnt (no labels, none
+left after the hold-out, or no weight that outlasts L1) every score is that of ``UNTAUGHT_BIAS``,
+below 0.5, so that no document counts as toxic and ``drop_toxic`` keeps them all; an empty table
+gives no rows. Other columns pass through ``scored``; its score gets a free name if they have one.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from credsift.llm.common import free_name, hash_unit
 from credsift.session import cut
@@ -34,9 +37,12 @@ from credsift.session import cut
 DIMENSION_BITS = 20
 SAMPLE = 16_000
 SHARDS = 2
+SHARD_FEATURES = 1 << 25
 EPOCHS = 4
+UNTAUGHT_BIAS = -1.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 5.0, 1.0
 CHUNK = 1 << 18
+_TAUGHT = -1  # in place of a bucket: the number of texts that taught
 
 _BLANKS = bytes(32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else b
                 for b in range(256))
@@ -192,7 +198,10 @@ def sample_labels(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, weight) of all weights that are not zero; the bias has bucket 2^DIMENSION_BITS."""
+    """(bucket, weight) of all weights that are not zero; the bias has bucket 2^DIMENSION_BITS.
+
+    Where nothing has been learnt, the bias alone calls every text clean.
+    """
     sample = cut(sample_labels(labels, size), "toxic-sample")
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))
     # the sample is bounded by its parameter, so it may be sent to all tasks; a minimum combines
@@ -203,28 +212,37 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.nd
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
         .select("doc_id", "label", hashed(F.col("text")).alias("buckets"))
+        .withColumn("shard", shard)
+        .withColumn("order", F.xxhash64(F.lit("order"), "doc_id"))
+    )
+    # a shard learns from whole texts, as many as its bound on features holds
+    so_far = Window.partitionBy("shard").orderBy("order", "doc_id")
+    taught = taught.withColumn("_sum", F.sum(F.size("buckets")).over(so_far)).filter(
+        F.col("_sum") <= SHARD_FEATURES
     )
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id"], kind="stable")
         w = learnt_weights(rows["buckets"].tolist(), rows["label"].tolist())
         at = np.flatnonzero(w)
-        return pd.DataFrame({"bucket": at, "weight": w[at] * len(rows), "n": float(len(rows))})
+        return pd.DataFrame(
+            {"bucket": np.append(at, _TAUGHT), "weight": np.append(w[at], 1.0) * len(rows)}
+        )
 
     fitted = cut(
-        taught.withColumn("shard", shard)
-        .withColumn("order", F.xxhash64(F.lit("order"), "doc_id"))
-        .groupBy("shard")
-        .applyInPandas(learn, "bucket int, weight double, n double"),
+        taught.drop("_sum").groupBy("shard").applyInPandas(learn, "bucket int, weight double"),
         "toxic-weights",
     )
-    rows = sample.count()
     # at most one row per bucket
     mean = fitted.groupBy("bucket").agg(F.sum("weight").alias("weight")).toPandas()
     mean = mean.sort_values("bucket")
+    known = mean["bucket"].to_numpy(np.int64) != _TAUGHT
+    if not known.any():
+        return np.array([1 << DIMENSION_BITS]), np.array([UNTAUGHT_BIAS], dtype=np.float32)
+    weights = mean["weight"].to_numpy()
     return (
-        mean["bucket"].to_numpy(np.int64),
-        (mean["weight"] / max(rows, 1)).to_numpy(np.float32),
+        mean["bucket"].to_numpy(np.int64)[known],
+        (weights[known] / weights[~known].sum()).astype(np.float32),
     )
 
 
@@ -263,14 +281,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: Column) -
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """The documents with a toxicity score, learnt from the labels that are not held out."""
     model = train(docs, labels)
-    return docs.withColumn(name, score(docs, model, F.col("text")))
+    return docs.withColumn(free_name(docs, name), score(docs, model, F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The documents that score below ``limit``; all of them where nothing has been learnt."""
     model = train(docs, labels)
-    if not len(model[0]):
-        return docs
     name = free_name(docs, "_score")
     marked = docs.withColumn(name, score(docs, model, F.col("text")))
     return marked.filter(F.col(name) < limit).select(*docs.columns)
@@ -278,7 +294,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
-    toxic = F.col("score") >= 0.5 if len(model[0]) else F.lit(False)
+    toxic = F.col("score") >= 0.5
     return docs.select("doc_id", score(docs, model, F.col("text")).alias("score")).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -86,3 +86,34 @@ def test_odd_rows(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain(text)
     assert quality_rules.rules_digest(docs.limit(0), labels).count() == 0
     assert quality_rules.rules_digest(docs, labels.limit(0)).filter(F.col("kept")).count() == 1
+
+
+def test_the_promise_holds_on_held_out_labels(spark):
+    """Cutoffs from one half of the labels, false rejections from the other."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    labels = table(spark, "/root/testdata/sf0.1", "labels")
+    taught = labels.filter("crc32(string(doc_id)) % 2 = 0")
+    got = quality_rules.judged(docs, taught).join(
+        labels.filter("crc32(string(doc_id)) % 2 = 1"), "doc_id").join(
+        docs.select("doc_id", "lang"), "doc_id")
+    good = got.filter("quality = 1 AND NOT base_failed").groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("lost")).collect()
+    assert sum(r.n for r in good) > 500
+    for r in good:  # as many lost as the limit allows, and three deviations of that count
+        allowed = quality_rules.LIMIT * r.n
+        assert r.lost <= allowed + 3 * allowed**0.5 + 1, r
+
+
+def test_copies_are_one_trial(spark):
+    """A thousand rows of one document, or of one text, prove no more than one."""
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    same, other = text(), text()
+    rows = [(1, same)] * 900 + [(10 + i, other) for i in range(900)] + [(5000 + i, text()) for i in range(20)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1) for r in set(rows)], "doc_id long, quality int")
+    stats = docs.select("doc_id", F.col("lang").alias("stratum"), F.xxhash64("text").alias("copy_of"),
+                        quality_rules.stats_of(F.col("text")).alias("s")).select(
+        "doc_id", "stratum", "copy_of", "s.*")
+    assert all(v is None for r in quality_rules.thresholds(stats, labels).collect() for v in r[1:]
+               if v == v)
