@@ -300,8 +300,8 @@ _STATE_DDL = (
 def _states(chunks: DataFrame) -> DataFrame:
     """(path, block, pos, no, at, inside, depth, trim, short): how each chunk begins.
 
-    The last chunk may have got a ``}`` too many when it was cut off; the row without text that
-    ends a report tells its length.
+    The last chunk may have got a ``}`` too many when it was cut off; the rows without text behind a
+    report tell its length.
     """
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ A drop area holds one folder per repository with reports named
 Line-delimited reports have one row per line, with ``block`` and ``pos`` in line order. Whole-document
 tools have one row per report (``pos`` 0) up to ``WHOLE_BYTES``. A larger report is read by as many
 tasks as other large files are: it has one row per chunk of about ``CHUNK_BYTES`` that ends behind a
-``}`` (``pos`` from 1 on), and a last row without text whose ``block`` is the length of the file.
+``}`` (``pos`` from 1 on), and from each task a row without text whose ``block`` is the length of the
+file, as the last task may find no piece that begins in its part.
 """
 
 from __future__ import annotations
@@ -112,21 +113,20 @@ def _chunks(pieces: DataFrame, tool: str, levels: int) -> DataFrame:
                        pa.array([pos], pa.int64()), pa.array([value], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        split: tuple | None = None  # path, start, behind the end, length of the file
+        split: tuple | None = None  # path, start, length of the file
         held: list[bytes] = []
         held_size = pos = 0
 
         def rest() -> Iterator[pa.RecordBatch]:
             if split is not None:
-                path, start, end, length = split
+                path, start, length = split
                 if held:
                     yield row(path, start, pos + 1, b"}".join(held) + b"}")
-                if end >= length:
-                    yield row(path, length, 1, b"")
+                yield row(path, length, start + 1, b"")
 
         for batch in batches:
             places = zip(
-                *(batch.column(c).to_pylist() for c in ("path", "start", "end", "length")), strict=True
+                *(batch.column(c).to_pylist() for c in ("path", "start", "length")), strict=True
             )
             for own, value in zip(places, batch.column("octets").to_pylist(), strict=True):
                 if own != split:
@@ -140,11 +140,9 @@ def _chunks(pieces: DataFrame, tool: str, levels: int) -> DataFrame:
                     held, held_size = [], 0
         yield from rest()
 
-    start, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
     joined = pieces.select(
         _decoded(F.col("_metadata.file_path")).alias("path"),
-        start.alias("start"),
-        (start + length).alias("end"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_size").alias("length"),
         F.col("value").cast("binary").alias("octets"),
     ).mapInArrow(join, "path STRING, block BIGINT, pos BIGINT, octets BINARY")

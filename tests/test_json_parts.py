@@ -198,7 +198,8 @@ def test_large_files_are_read_in_splits(spark, tmp_path, monkeypatch):
         folder = tmp_path / "app"
         folder.mkdir(exist_ok=True)
         (folder / f"app_{landing.RAW_NAMES[tool]}").write_text(
-            json.dumps(merged, ensure_ascii=False), encoding="utf-8")
+            json.dumps(merged, ensure_ascii=False) + " " * 20_000, encoding="utf-8")
+        # the last splits of the large report hold blanks only
         small = tmp_path / "small"
         small.mkdir(exist_ok=True)
         (small / f"small_{landing.RAW_NAMES[tool]}").write_text(json.dumps(report[0]))
