@@ -135,3 +135,33 @@ def test_the_rest_does_without_this_part(tmp_path):
     assert done.returncode == 0, done.stderr
     counts = done.stdout.split()
     assert counts[0] == counts[1] and int(counts[0]) >= 56
+
+
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    """NULLs in every column, empty and long texts, repeated rows, clashing columns, no rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.limit(60).collect()]
+    rows += [(None, None, None, None, None), (901, None, "en", "a", 0), (902, "", None, None, 0),
+             (903, rows[0][1], None, "a", 1), (904, "the words of this text " * 30_000, "en", "a", 9),
+             (None, rows[1][1], "en", None, 2), *rows[:3], *rows[:3]]
+    odd = spark.createDataFrame(
+        [(*r, 0.5, [1], "x") for r in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, score double, "
+        "ids array<int>, _row string",
+    )
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    odd_labels = labels.union(spark.createDataFrame(
+        [(None, 1, 1), (901, None, None), (902, 1, 1)], labels.schema))
+
+    def run(name, documents):
+        folder = str(tmp_path / name)
+        documents.write.parquet(f"{folder}/documents.parquet")
+        odd_labels.write.parquet(f"{folder}/labels.parquet")
+        return corpus_pipeline.run(spark, folder)
+
+    got = run("odd", odd)
+    assert set(got.columns) == {"doc_id", "source", "lang", "ids"}
+    found = got.collect()
+    assert found and {r.doc_id for r in found} <= {r[0] for r in rows}
+    assert all(r.ids is not None for r in found)
+    assert run("none", odd.limit(0)).collect() == []
