@@ -290,3 +290,26 @@ def test_a_registered_tool_is_landed_and_read(spark, tmp_path):
         TOOLS.remove("tabs")
         landing.RAW_NAMES.pop("tabs")
         landing.LINE_DELIMITED.discard("tabs")
+
+
+def test_landing_is_written_small(spark, tmp_path):
+    """With a codec that finds the names that all reports repeat."""
+    path = str(tmp_path / "out")
+    rows = [("r", "gitleaks", "/p", 0, 0, "[]")]
+    landing.write_landing(spark.createDataFrame(rows, landing.LANDING_DDL), path)
+    names = [p.name for p in (tmp_path / "out").rglob("*.parquet")]
+    assert names and all(".zstd." in name for name in names)
+
+
+def test_repository_names_are_cut_at_slashes(spark):
+    """A pattern is tried from every character of the path, for every line of a report."""
+    paths = ["", "a", "/a", "r/f", "/x/r/f", "file:///d/repository=q/f", "//f", "x/repository=/f",
+             "a/b/c/", None, "s3a://b/o1/r1/r1_titus_raw.json"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path STRING")
+    for levels in (1, 2, 3):
+        pattern = rf"((?:[^/]*/){{0,{levels - 1}}}[^/]*)/[^/]*$"
+        old = F.regexp_replace(F.regexp_extract("path", pattern, 1), "(^|/)repository=", "$1")
+        name = landing.repository_of(F.col("path"), levels)
+        assert "regexp_extract" not in str(name).lower()
+        for row in rows.select("path", old.alias("old"), name.alias("new")).collect():
+            assert row.old == row.new, row
