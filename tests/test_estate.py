@@ -1,5 +1,6 @@
 """Reports of many records, one per repository: how they are made, and how the stream reads them."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -37,3 +38,33 @@ def test_the_task_of_a_report_sorts_no_texts(spark, sf_dir):
         node = node.children().apply(0)
     columns = [node.output().apply(i).name() for i in range(node.output().size())]
     assert set(columns) == {"repository", "part", "ok", "ln", "pk", "sk"}
+
+
+def test_the_stream_reads_large_reports_in_chunks(spark, tmp_path, monkeypatch):
+    from credsift.sources import landing
+    from credsift.streaming import ingest
+
+    monkeypatch.setattr(landing, "WHOLE_BYTES", 1000)
+    monkeypatch.setattr(landing, "CHUNK_BYTES", 700)
+    # signs of patterns in a name stand for themselves
+    folder = tmp_path / "drop" / "a[1]{b},c*d e+é"
+    folder.mkdir(parents=True)
+    report = [{"File": f"f{n}.py", "Secret": f"s{n}", "StartLine": n} for n in range(1, 400)]
+    (folder / "x_gitleaks_raw.json").write_text(json.dumps(report))
+    (tmp_path / "drop" / "a1b").mkdir()
+    (tmp_path / "drop" / "a1b" / "y_gitleaks_raw.json").write_text('[{"Secret": "small"}]')
+    longest = []
+    read = ingest.read_findings
+
+    def reading(rows, tools):
+        longest.append(rows.agg(F.max(F.length("value"))).head()[0])
+        return read(rows, tools)
+
+    monkeypatch.setattr(ingest, "read_findings", reading)
+    ingest.stream_reports(
+        spark, "gitleaks", str(tmp_path / "drop"), str(tmp_path / "state"), str(tmp_path / "ckpt")
+    ).awaitTermination()
+    found = ingest.current_by_id(spark, str(tmp_path / "state")).collect()
+    assert {(r.repository, r.secret_value) for r in found} == {
+        ("a1b", "small"), *(("a[1]{b},c*d e+é", f"s{n}") for n in range(1, 400))}
+    assert max(longest) < 2000
