@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsift.operators.merge import merge_by, with_norm
+from credsift.operators.merge import cut_findings, merge_by, with_norm
 from credsift.operators.proximity import absorb_overlapping
 from credsift.schema import FINDING_COLUMNS
 from credsift.session import cut
@@ -33,7 +33,7 @@ def merge_same_secret(findings: DataFrame) -> DataFrame:
 
 def dedup_findings(findings: DataFrame, keep_seq: bool = False) -> DataFrame:
     """All three passes. The second pass is written out once: pass 3 measures it first."""
-    merged = cut(merge_same_secret(merge_same_id(findings)), "merged")
+    merged = cut_findings(merge_same_secret(merge_same_id(findings)), "merged")
     unique = absorb_overlapping(merged)
     return unique.select(*FINDING_COLUMNS, *(["seq"] if keep_seq else []))
 
@@ -45,7 +45,7 @@ def dedup_with_stats(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     counted = with_norm(findings.withColumn("raw", F.lit(1).cast("bigint")))
     first = merge_by(counted, "id", sums=("raw",))
-    merged = cut(merge_by(first, "repository", "norm", sums=("raw",)), "merged")
+    merged = cut_findings(merge_by(first, "repository", "norm", sums=("raw",)), "merged")
     unique = cut(absorb_overlapping(merged.drop("raw")).select(*FINDING_COLUMNS), "unique")
     before = merged.groupBy("repository").agg(F.sum("raw").alias("raw_findings"))
     after = unique.groupBy("repository").agg(F.count("*").alias("unique_findings"))

@@ -11,10 +11,12 @@ result is the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsift.functions.keys import LOCATION, has_location, location_hash
+from credsift.functions.keys import LOCATION, given_id, has_location, id_again, location_hash
 from credsift.functions.text import core_form, normal_form, overlaps
 from credsift.operators.overlaps import absorb_linked
 from credsift.session import cut
@@ -40,7 +42,7 @@ def absorb_overlapping(
     columns = findings.columns
     if "norm" not in columns:
         findings = findings.withColumn("norm", normal_form(F.col("secret_value")))
-    core = core_form(F.col("norm")) if use_core else F.col("norm")
+    core = core_form if use_core else lambda norm: norm
     elsewhere = findings.filter(~has_location()).select(*columns)
     located = findings.filter(has_location())
 
@@ -53,7 +55,7 @@ def absorb_overlapping(
     quiet = located.join(crowded, "_place", "left_anti")
     busy = located.join(crowded, "_place", "left_semi").drop("_place")
     return elsewhere.unionByName(_fold(quiet, core, columns)).unionByName(
-        absorb_linked(busy.withColumn("core", core)).select(*columns)
+        absorb_linked(busy.withColumn("core", core(F.col("norm")))).select(*columns)
     )
 
 
@@ -67,23 +69,28 @@ def _crowded_locations(located: DataFrame, rows: int, chars: int) -> DataFrame:
     )
 
 
-def _fold(located: DataFrame, core: Column, columns: list[str]) -> DataFrame:
-    keep = [c for c in columns if c not in ("norm", "found_by")]
+def _fold(located: DataFrame, core: Callable[[Column], Column], columns: list[str]) -> DataFrame:
+    # what the others of an item give is made again behind the shuffle
+    keep = [c for c in columns if c not in ("norm", "found_by", "seq", "id", *LOCATION)]
     item = F.struct(
         (-F.length("norm")).alias("rank"),
         "seq",
         "norm",
-        core.alias("core"),
         "found_by",
-        F.struct(*keep).alias("row"),
+        F.struct(given_id().alias("given_id"), *keep).alias("row"),
+    )
+    groups = located.groupBy(*LOCATION).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    with_core = F.transform("items", lambda i: i.withField("core", core(i["norm"])))
+    survivors = F.when(F.size("items") < 2, F.col("items")).otherwise(
+        F.transform(_survivors(with_core), lambda i: i.dropFields("core"))
     )
-    ordered = F.array_sort(F.collect_list(item))
-    groups = located.groupBy(*LOCATION).agg(ordered.alias("items"))
-    survivors = F.when(F.size("items") < 2, F.col("items")).otherwise(_survivors(F.col("items")))
-    flat = groups.select(F.explode(survivors).alias("item"))
-    return flat.select(
-        *(F.col(f"item.row.{c}").alias(c) for c in keep), "item.norm", "item.found_by"
-    ).select(*columns)
+    flat = groups.select(*LOCATION, F.explode(survivors).alias("item"))
+    rows = flat.select(
+        *LOCATION, "item.seq", *(F.col(f"item.row.{c}").alias(c) for c in ["given_id", *keep]),
+        "item.norm", "item.found_by",
+    )
+    again = id_again(*map(F.col, ("given_id", "repository", "file_path", "secret_value")))
+    return rows.withColumn("id", again).select(*columns)
 
 
 def _survivors(items: Column) -> Column:
