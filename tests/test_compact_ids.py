@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from credsift.functions.keys import finding_id, short_id
-from credsift.operators import dedup, merge
-from credsift.schema import FINDING_DDL
+from credsift.operators import attribution, dedup, merge
+from credsift.schema import FINDING_COLUMNS, FINDING_DDL
 
 
 def _own():
@@ -47,3 +47,27 @@ def test_rows_of_one_id_are_merged_and_keep_it(spark):
     assert unique == set(merged)
     keys = found.select(short_id().alias("k"), "id").distinct()
     assert keys.select("k").distinct().count() == keys.select("id").distinct().count() == 7
+
+
+def test_attribution_writes_no_id_that_follows_from_the_row(spark, monkeypatch):
+    found = _rows(spark).withColumn("commit_hash", F.lit("")).withColumn("blob_id", F.lit("b"))
+    blame = spark.createDataFrame(
+        [("r", "HEAD", f"{c}.py", 1, 5, "new") for c in "abcdef"],
+        "repository STRING, revision STRING, file_path STRING, line_start INT, line_end INT, "
+        "commit_hash STRING",
+    )
+    written = []
+    cut = attribution.cut
+
+    def keep(df, label, **options):
+        written.append(cut(df, label, **options))
+        return written[-1]
+
+    monkeypatch.setattr(attribution, "cut", keep)
+    got = attribution.attribute(found, blame)
+    assert got.columns == found.columns
+    want = found.withColumn("commit_hash", F.when(
+        F.col("line_number").between(1, 5) & F.col("file_path").rlike("^[a-f]"), "new").otherwise(""))
+    rows = lambda df: sorted(map(str, df.select(*FINDING_COLUMNS, "seq").collect()))
+    assert rows(got) == rows(want)
+    assert written[0].filter("file_path = 'a.py' AND id IS NOT NULL").count() == 0
