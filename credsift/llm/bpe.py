@@ -107,10 +107,15 @@ class Vocabulary:
         self.lengths = np.array([len(s) for s in spelled], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.octets = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        # the same model for words that are spelled by byte characters, of which none is a blank
+        self.speller = Tokenizer(self.tokenizer.model)
+        self.speller.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each word has."""
-        done = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        spell = "".join(byte_characters())
+        line = " ".join([w.encode().decode("latin-1").translate(spell) for w in words])
+        done = self.speller.encode(line, add_special_tokens=False)
         ids = np.array(done.ids, dtype=np.int32)
         of = np.array(done.word_ids, dtype=np.int64)
         return ids, np.bincount(of, minlength=len(words))
@@ -194,7 +199,7 @@ def cut_points(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def _hashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit hash per pre-token: the sum of mixed (character, place) pairs."""
     place = np.arange(len(codes), dtype=np.uint64)
-    place -= np.repeat(starts, np.diff(np.append(starts, len(codes)))).astype(np.uint64)
+    place -= np.repeat(starts.view(np.uint64), np.diff(np.append(starts, len(codes))))
     x = codes.astype(np.uint64)
     x *= np.uint64(0x9E3779B97F4A7C15)
     place *= np.uint64(0xC2B2AE3D27D4EB4F)
@@ -229,10 +234,10 @@ class Encoder:
         """The entry of each hash, -1 where unknown."""
         mask = np.uint64(len(self.keys) - 1)
         at = hashes & mask
-        found = np.full(len(hashes), -1, dtype=np.int64)
         here = self.keys[at]
         hit = here == hashes
-        found[hit] = self.entry[at[hit]]
+        found = self.entry[at].astype(np.int64)
+        found[~hit] = -1
         open_ = np.flatnonzero(~hit & (here != 0))
         step = 1
         while len(open_):

@@ -6,7 +6,8 @@ their ids coded in blocks by ``range_coder``. The folder's files are written by
 protocol, so lost executors leave nothing behind, and a shard is read without any other.
 
 A shard row: file (number of the range of doc_ids), shard (its number in the file), doc_ids,
-lengths (ids per document), n_ids, blocks (the coded blocks). ``read`` gives the documents
+lengths (ids per document), n_ids, came and shares (the shard's distinct ids and their order-0
+shares, by how often they come in it), blocks (the coded blocks). ``read`` gives the documents
 back: doc_id, start (ids of all documents before), and ids as little-endian unsigned 32-bit
 integers. A damaged block stops the read with ``BlockError``.
 
@@ -40,7 +41,7 @@ HANDED = 4 << 20
 
 SHARDS = (
     "file int, shard int, n_ids long, doc_ids array<long>, lengths array<int>, "
-    "blocks array<binary>"
+    "came array<int>, shares array<int>, blocks array<binary>"
 )
 
 
@@ -66,7 +67,9 @@ class _Shards:
         self.size += len(ids)
 
     def row(self) -> pa.RecordBatch:
-        blocks = range_coder.encode(np.concatenate(self.ids), self.n_ids, range_coder.BLOCK)
+        ids = np.concatenate(self.ids)
+        order0 = range_coder.Order0.of(ids, self.n_ids)
+        blocks = range_coder.encode(ids, self.n_ids, range_coder.BLOCK, order0)
         batch = pa.RecordBatch.from_arrays(
             [
                 pa.array([self.file], pa.int32()),
@@ -74,9 +77,11 @@ class _Shards:
                 pa.array([self.size], pa.int64()),
                 pa.array([self.doc_ids], pa.list_(pa.int64())),
                 pa.array([self.lengths], pa.list_(pa.int32())),
+                pa.array([order0.ids[:-1]], pa.list_(pa.int32())),
+                pa.array([order0.shares[:-1].astype(np.int32)], pa.list_(pa.int32())),
                 pa.array([blocks], pa.list_(pa.binary())),
             ],
-            names=["file", "shard", "n_ids", "doc_ids", "lengths", "blocks"],
+            names=["file", "shard", "n_ids", "doc_ids", "lengths", "came", "shares", "blocks"],
         )
         self.shard += 1
         self._clear()
@@ -127,10 +132,11 @@ def read(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFr
         n_ids = bpe.worker_vocabulary(content.value).size
         for batch in batches:
             for i in range(batch.num_rows):
-                file, shard, total, doc_ids, lengths, blocks = (
-                    batch.column(k)[i].as_py() for k in range(6)
+                file, shard, total, doc_ids, lengths, came, shares, blocks = (
+                    batch.column(k)[i].as_py() for k in range(8)
                 )
-                ids = range_coder.decode(blocks, n_ids).astype("<u4")
+                order0 = range_coder.Order0(came, shares)
+                ids = range_coder.decode(blocks, n_ids, order0).astype("<u4")
                 if len(ids) != total or sum(lengths) != total:
                     raise range_coder.BlockError("a shard does not hold the ids it names")
                 ends = np.cumsum(lengths)
