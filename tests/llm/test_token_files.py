@@ -1,5 +1,6 @@
 """Range-coded token files: exact round trips, checksums, and the library's own ids."""
 
+import random
 import time
 import zlib
 
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from credsift.llm import range_coder, token_files
+from credsift.llm import bpe, range_coder, token_files
 from credsift.session import fresh_path
 
 
@@ -108,6 +109,21 @@ def test_the_coder_costs_little_beside_zlib():
     assert seconds(coder) < 2.5 * seconds(lambda: zlib.decompress(zlib.compress(octets, 6)))
 
 
+def test_words_are_encoded_as_within_their_text():
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, "rb") as file:
+        encoder = bpe.Encoder(bpe.Vocabulary(file.read()))
+    rng = random.Random(7)
+    pieces = ["a", "ing", " the", " ", "  ", "\n", "\t", "'", "'re", "1", "é", "日本", "🙂"]
+    pieces += ["\xa0", "\x85", "Ġ", "\x00", "<|endoftext|>"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(2000)]
+    got = [part for ids, n in encoder.encode(texts) for part in np.split(ids, np.cumsum(n)[:-1])]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [part.tolist() for part in got] == want
+
+
 TEXTS = [None, "", "It's a test, a test!", "é🙂 <|endoftext|> x", "word " * 30_000, "a\n\n b"]
 
 
