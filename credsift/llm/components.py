@@ -11,7 +11,8 @@ from credsift.session import cut
 def _with_least(pairs: DataFrame) -> DataFrame:
     """(u, v, m) with m the least of u and its neighbours; hubs are summed up map-side."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
+    # every u is there; a left join can broadcast the least ends only, never the pairs
+    return pairs.join(least, "u", "left").withColumn("m", F.least("u", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -173,8 +173,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> Da
         )
         index = index.join(hot, ["i", "key"], "left_anti")
     a, b = index.withColumnRenamed("fp", "u"), _flips(_index_rows(prints, ring), ring)
+    # both sides hold far more rows than Spark expects after an explode, so neither is broadcast
     pairs = (
-        a.join(b.withColumnRenamed("fp", "v"), ["i", "key"])
+        a.join(b.withColumnRenamed("fp", "v").hint("merge"), ["i", "key"])
         .filter(F.col("u") != F.col("v"))
         .filter(ring.budgets_hold(F.col("u"), F.col("v")))
         .filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
@@ -219,7 +220,8 @@ def _stars(dense: DataFrame, distance: int) -> DataFrame:
         .agg(F.min("fp").alias("v"))
     )
     far = _ball(marked, F.col("bits"), distance - distance // 2).select("z", F.col("fp").alias("u"))
-    return far.join(near, "z").filter("u <> v").select("u", "v").distinct()
+    # thousands of rows a fingerprint, which Spark takes for one: neither side is broadcast
+    return far.join(near.hint("merge"), "z").filter("u <> v").select("u", "v").distinct()
 
 
 # --- documents -----------------------------------------------------------------------------

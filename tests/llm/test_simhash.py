@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
+from credsift.llm import components as llm_components
 from credsift.llm import simhash
 from credsift.operators.components import components
 
@@ -96,3 +97,24 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(ids.values()))
     assert simhash.dedup(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+    """Spark expects one row where an explode gives many, and would send them all to the driver."""
+
+    def written(rows, ddl, name):  # files have a size that Spark knows
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rng = random.Random(5)
+    values = signed(rng.getrandbits(64) for _ in range(50))
+    prints = written([(v,) for v in values], "fp long", "prints")
+    assert "BroadcastHashJoin" not in plan(simhash.links(prints))
+    assert "BroadcastHashJoin" not in plan(simhash._stars(prints, 3))
+    edges = written([(3, 1), (3, 2), (4, 3)], "u long, v long", "edges")
+    assert "BuildLeft" not in plan(llm_components._with_least(edges))
+    found = llm_components.components(edges).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1), (2, 1), (3, 1), (4, 1)]
