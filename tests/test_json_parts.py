@@ -232,3 +232,30 @@ def test_time_follows_the_length():
                  b"\\" * 2_000_000, b'["' + b'\\"' * 1_000_000, b"[" * 1_000_000 + b"x" * 10**6):
         json_parts.walk(data, json_parts.State(), 2)
         json_parts.walk(data, json_parts.State(True), 2)
+
+
+def test_arrays_tell_the_same_as_a_walk(monkeypatch):
+    rng = random.Random(4)
+    for n in range(20_000):
+        monkeypatch.setattr(json_parts, "NEAR", rng.choice([1, 5, 1000]))
+        signs = b'{}[]{}"\\a,' if n % 2 else b'{}[]{}"a,'
+        data = bytes(rng.choice(signs) for _ in range(rng.randint(0, 24)))
+        behind = [json_parts.walk(data, json_parts.State(inside))[1] for inside in (False, True)]
+        assert json_parts.states_behind(data) == behind, data
+        start, level = json_parts.State(rng.random() < 0.3, rng.randint(0, 3)), rng.randint(1, 4)
+        want = json_parts.walk(data, start, level)[0]
+        assert json_parts.objects(data, start, level) == want, (data, start, level)
+
+
+def test_an_element_meets_its_own_run_alone(spark):
+    """Numbers between the records make as many runs; no element is tried with all of a chunk."""
+    record = b'{"Secret": "s%d"}'
+    data = b"[" + b",7,".join(record % n for n in range(300)) + b"]"
+    chunks = [("r", "gitleaks", "/d", 0, 1, data.decode() + "}"), ("r", "gitleaks", "/d", len(data), 1, "")]
+    reports = spark.createDataFrame(chunks, landing.LANDING_DDL)
+    found = gitleaks.findings(reports)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "first#" in joins[0] and ">=" not in joins[0]
+    places = {r.secret_value: r.seq.pos for r in found.collect()}
+    assert places == {f"s{n}": 2 * n for n in range(300)}
