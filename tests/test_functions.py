@@ -100,3 +100,15 @@ def test_relative_paths(spark):
 def test_tab_names(spark):
     got = column(spark, ["detect-secrets", "GITLEAKS", "x" * 40], T.tab_name)
     assert got == ["Detect-secrets", "Gitleaks", "X" + "x" * 30]
+
+
+def test_white_space_is_told_by_a_short_way(spark):
+    """Every sign of the two planes, as the plain class of signs takes it."""
+    import re
+
+    plain = re.compile("[\t-\r\x1c-\x20\x85\xa0  -     　]+")
+    rows = [(f"{chr(c)}x{chr(c) * 2}",) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame(rows, "v string").select("v", T.without_space(F.col("v"))).collect()
+    assert len(got) == len(rows) and all(out == plain.sub("", v) for v, out in got)
+    # signs that most values are made of are told before the long class is tried
+    assert T._SPACE.startswith("[[^!-~]&&[")
